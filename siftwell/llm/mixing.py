@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .spark_io import cut, join_small
+from .spark_io import cut, join_small, unwrapped, wrapped
 
 #: Production parameters: relative weights by source, the weight of any other, the part of all tokens that the largest mix has, and the nested budgets.
 WEIGHTS, DEFAULT_WEIGHT, TOTAL_FRACTION, LEVELS = {"src0": 7.0}, 1.0, 0.9, (0.25, 0.5, 1.0)
@@ -92,10 +92,8 @@ def mix_report(docs: DataFrame, **parameters) -> DataFrame:
 
 def mix_filter(docs: DataFrame, **parameters) -> DataFrame:
     """The documents of the largest mix, with their own columns; their texts are read once to count and once to copy."""
-    columns = docs.columns
     limits = thresholds(cut(narrow_rows(docs)), **parameters)
-    kept = mixed(docs.withColumns({"m_source": F.coalesce("source", F.lit("")), "m_hash": id_hash(F.col("doc_id"))}), limits)
-    return kept.select(*columns)
+    return unwrapped(mixed(wrapped(docs, m_source=F.coalesce("source", F.lit("")), m_hash=id_hash(F.col("doc_id"))), limits))
 
 
 def oracle(docs: str = "documents") -> str:

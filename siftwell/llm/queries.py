@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lexicon, mixing, token_counts, token_ids
+from . import lexicon, mixing, near_copies, quality, secrets, token_counts, token_ids
 from .spark_io import spread, table
 
 
@@ -24,5 +24,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(spread(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_ids, op3_bpe, op5_token_counts)}
-ORACLE_SQL = {"op1_mixing": mixing.oracle()}
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(spread(table(spark, sf_dir, "documents")))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(spread(table(spark, sf_dir, "documents")))
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.jaccard_join(spread(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_token_ids, op3_bpe, op5_token_counts, op6_secrets, op9_quality, op10_ngram_jaccard)}
+ORACLE_SQL = {"op1_mixing": mixing.oracle(), "op9_quality": quality.oracle()}

@@ -68,6 +68,15 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], rows: int | No
     return big.withColumn("_salt", (F.rand(7) * SALTS).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
 
 
+def wrapped(df: DataFrame, **derived) -> DataFrame:
+    """The rows as one column _row beside derived columns, which so can't clash with the rows' own names."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(k) for k, c in derived.items()])
+
+
+def unwrapped(df: DataFrame) -> DataFrame:
+    return df.select("_row.*")
+
+
 def in_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str, rows: int = 2000) -> DataFrame:
     """mapInArrow with one state a task: make() returns what turns a batch into batches."""
     del rows
