@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, tokenised, vocabulary
-from .spark_io import in_arrow, put_file, vocabulary_path
+from .spark_io import in_arrow, put_file, ship, vocabulary_path
 from .textvec import code_points, ragged, span_hashes
 
 #: Words in the lexicon, and distinct words that a counting task holds before it passes them on.
@@ -30,6 +30,7 @@ SCHEMA = "doc_id long, n_tokens int, token_ids array<int>, round_trip boolean"
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts, by pre-token."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)

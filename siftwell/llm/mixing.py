@@ -66,7 +66,7 @@ def thresholds(narrow: DataFrame, weights=None, default_weight=DEFAULT_WEIGHT, t
     while done < HASH_BITS:
         done += NEXT
         # several levels may share a boundary bucket, so its documents are read once for each
-        inside = join_small(narrow.withColumn("m_prefix", F.shiftright("m_hash", HASH_BITS - done + NEXT)), edge.withColumnRenamed("m_bucket", "m_prefix"), ["m_source", "m_prefix"])
+        inside = join_small(narrow.withColumn("m_prefix", F.shiftright("m_hash", HASH_BITS - done + NEXT)), edge.withColumnRenamed("m_bucket", "m_prefix"), ["m_source", "m_prefix"], ["m_hash"])
         hist = inside.groupBy("m_source", "m_level", "m_left", F.shiftright("m_hash", HASH_BITS - done).alias("m_bucket")).agg(F.sum("m_tokens").alias("m_sum"))
         edge = cut(boundary(hist.drop("m_left"), edge.drop("m_bucket"), ["m_source", "m_level"]))
     return cut(edge.select("m_source", "m_level", F.col("m_bucket").alias("m_limit")).unionByName(whole))
@@ -76,7 +76,7 @@ def mixed(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """rows (with m_source and m_hash) that are in the largest mix, with m_in, the smallest level that holds each."""
     by_source = cut(limits.groupBy("m_source").agg(F.collect_list(F.struct("m_level", "m_limit")).alias("m_limits")))
     fits = F.array_min(F.transform(F.filter("m_limits", lambda x: F.col("m_hash") < x["m_limit"]), lambda x: x["m_level"]))
-    return join_small(rows, by_source, ["m_source"]).withColumn("m_in", fits).filter("m_in is not null").drop("m_limits")
+    return join_small(rows, by_source, ["m_source"], ["m_hash"]).withColumn("m_in", fits).filter("m_in is not null").drop("m_limits")
 
 
 def narrow_rows(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .spark_io import BROADCAST_ROWS, cut, slices, unwrapped, wrapped
+from .spark_io import BROADCAST_ROWS, cut, ship, slices, unwrapped, wrapped
 from .textvec import SPACE, classes, code_points, mix, ragged, span_hashes, words
 
 #: Production parameters: words in a gram and the least Jaccard similarity of a pair.
@@ -74,6 +74,7 @@ SEGMENTS = "frag int, uid binary, size binary, held binary, gram binary"
 
 def segments(docs: DataFrame, fragments: int, n: int) -> DataFrame:
     """Packed segments: of each fragment, the texts (doc_id and text hash), their numbers of grams, how many are here, and these grams."""
+    ship(docs.sparkSession)
     bits = fragments.bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

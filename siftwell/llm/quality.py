@@ -88,7 +88,7 @@ def kept(rows: DataFrame, limits: DataFrame) -> DataFrame:
     for m in METRICS:
         e, v = F.col("q_bounds")[m], F.col(_PREFIX + m)
         inside.append(F.coalesce(v >= e["lo"], F.lit(True)) & F.coalesce(v <= e["hi"], F.lit(True)))
-    return join_small(rows.filter(~F.col("q_empty")), limits, ["q_lang", "q_source"]).filter(reduce(Column.__and__, inside))
+    return join_small(rows.filter(~F.col("q_empty")), limits, ["q_lang", "q_source"], [_PREFIX + m for m in METRICS]).filter(reduce(Column.__and__, inside))
 
 
 def quality_report(docs: DataFrame, **parameters) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_io import in_arrow, wrapped
+from .spark_io import in_arrow, ship, wrapped
 
 SECRET, LINK = 10.0, math.log10(2)
 MARK = "<SECRET>"
@@ -185,6 +185,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with each secret masked and n_chars, where there is one, following the text; nothing is dropped.
 
     Python sees only the texts that may hold a credential context; of the others it gets nulls."""
+    ship(docs.sparkSession)
     mask = F.pandas_udf(lambda texts: texts.map(redacted), "string")
     masked = wrapped(docs, s_text=mask(F.when(F.col("text").rlike(NEAR), F.col("text"))))
     own = {c: F.col(f"_row.`{c}`") for c in docs.columns}

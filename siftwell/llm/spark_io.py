@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,43 +10,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import cut, share, shared_folder, ship
+
+__all__ = ["cut", "share", "shared_folder", "ship"]
+
 #: Rows up to which a decision table is broadcast; a larger one is joined with a salted shuffle.
 BROADCAST_ROWS = 100_000
 SALTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = spark.conf.get("spark.siftwell.ownCheckpointDir", None)
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="siftwell-")
-            spark.conf.set("spark.siftwell.ownCheckpointDir", folder)
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def put_file(spark: SparkSession, data: bytes, stem: str) -> str:
     """Write bytes to the shared folder and hand them to every executor; returns the name for SparkFiles."""
     name = f"{stem}-{uuid.uuid4().hex}.bin"
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{name}")
-    stream = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
-    for at in range(0, len(data), 1 << 20):
-        stream.write(bytearray(data[at : at + (1 << 20)]))
-    stream.close()
-    sc.addFile(path.toString())
+    spark.sparkContext.addFile(share(spark, data, name))
     return name
 
 
@@ -57,7 +37,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 4) else df
 
 
-def join_small(big: DataFrame, small: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], salt: list[str], rows: int | None = None) -> DataFrame:
     """Inner equi-join with a decision table: broadcast behind a count of its rows, else a shuffle salted against hot keys.
 
     small must have been materialised, as it is counted."""
@@ -65,7 +45,8 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], rows: int | No
     if n <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), keys)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("_salt", (F.rand(7) * SALTS).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+    # the salt is a function of the row, so that a task that runs again deals its rows alike
+    return big.withColumn("_salt", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
 
 
 def wrapped(df: DataFrame, **derived) -> DataFrame:
@@ -77,9 +58,9 @@ def unwrapped(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
 
 
-def in_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str, rows: int = 2000) -> DataFrame:
+def in_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with one state a task: make() returns what turns a batch into batches."""
-    del rows
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_io import in_arrow, slices
+from .spark_io import in_arrow, ship, slices
 from .textvec import LETTER, classes, code_points, mix, span_hashes, words
 
 #: The bounds of the training sample, and the other production parameters.
@@ -146,6 +146,7 @@ def train(sets: list[np.ndarray], positive: np.ndarray, prior: float) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+    ship(docs.sparkSession)
     one = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = one.agg(F.avg("toxic")).first()[0] or 0.0
     order = [F.xxhash64("doc_id", F.lit(11)), "doc_id"]
