@@ -5,13 +5,14 @@ set. Linear classifiers in numpy minimise the class-prior-corrected risk
     pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives)),
 and when the second part falls below zero, the step goes up that part alone. The prior pi is the share of toxic rows in the
 whole labels table. The mean of the classifiers, each trained from another start, decides; the threshold is where
-the corrected zero-one risk is least.
+the corrected zero-one risk is least, found for each language with OWN_THRESHOLD positives in the sample (its prior is pi
+times its share of the positives over its share of the unlabelled) and for all others together.
 
-The features are a text's distinct words (letters, lower case) and their stems of 4 to 8 letters, by 64-bit hash: those that
-more positives have than chance allows, and the COMMON most common others. Training reads at most MAX_POSITIVE + MAX_UNLABELLED labelled texts, the first by the
+The features are a text's distinct words (letters, lower case), their stems of 4 to 8 letters, and whether at least 2, 3 or 4
+of the distinct words have a stem, by 64-bit hash: those that more positives have than chance allows. Training reads at most MAX_POSITIVE + MAX_UNLABELLED labelled texts, the first by the
 hash of their ids; scoring reads every text whole.
 
-Defined cases: null and empty texts have no words and are not toxic; without any positive example nothing is toxic; a
+Defined cases: null and empty texts have no words and are not toxic; a null language counts as ''; without any positive example nothing is toxic; a
 doc_id with several labels is positive if one of them is; labels without a text are left out; repeated rows are scored
 each; a null doc_id is scored too; other columns are ignored, whatever their names; an empty table gives an empty result."""
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,14 @@ from .textvec import LETTER, classes, code_points, mix, span_hashes, words
 
 #: The bounds of the training sample, and the other production parameters.
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12_000
-STEMS, LEAST_SHARE, LEAST_Z, COMMON, CLASSIFIERS, STEPS, RATE, DECAY = (4, 5, 6, 7, 8), 0.02, 5.0, 0, 3, 300, 0.05, 1e-3
+STEMS, LEVELS, LEAST_SHARE, LEAST_Z, CLASSIFIERS, STEPS, RATE, DECAY = (4, 5, 6, 7, 8), 4, 0.02, 5.0, 3, 1500, 0.05, 1e-5
+OWN_THRESHOLD = 10
 SCHEMA = "doc_id long, score double, toxic boolean"
 SLICE = 600_000
 
 
 def word_sets(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, rows in order, hashes) of each slice's words and stems; a row's words may repeat."""
+    """(first row, end row, rows in order, hashes) of each slice's distinct words, stems and levels of stems."""
     low = [(t or "").lower() for t in texts]
     lengths = list(map(len, low))
     for a, b in slices(lengths, SLICE):
@@ -47,14 +49,23 @@ def word_sets(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, n
         cp = code_points("".join(low[a:b]))
         starts, ends = words(cp, begins, classes()[cp] == LETTER)
         row = full[np.searchsorted(begins, starts, "right") - 1] if len(starts) else starts
+        h = span_hashes(cp, starts, ends)
+        order = np.lexsort((h, row))
+        order = order[np.append(True, (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1]))] if len(order) else order
+        starts, ends, row, h = starts[order], ends[order], row[order], h[order]
         # stems: the first letters of longer words, hashed apart from whole words of that spelling
-        stems = [np.flatnonzero(ends - starts > k) for k in STEMS]
-        at = np.concatenate([np.arange(len(starts)), *stems])
-        cut = np.concatenate([ends, *(starts[i] + k for i, k in zip(stems, STEMS, strict=True))])
-        h = span_hashes(cp, starts[at], cut)
-        h[len(starts) :] = mix(h[len(starts) :])
-        order = np.argsort(row[at], kind="stable")
-        yield a, b, row[at][order], h[order]
+        longer = [np.flatnonzero(ends - starts > k) for k in STEMS]
+        at = np.concatenate(longer)
+        stem = mix(span_hashes(cp, starts[at], np.concatenate([starts[i] + k for i, k in zip(longer, STEMS, strict=True)])))
+        order = np.lexsort((stem, row[at]))
+        stem, of = stem[order], row[at][order]
+        first = np.flatnonzero(np.append(True, (stem[1:] != stem[:-1]) | (of[1:] != of[:-1]))) if len(stem) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(stem)))
+        stem, of = stem[first], of[first]
+        every = [h, stem, *(mix(stem[times >= k] + np.uint64(k)) for k in range(2, LEVELS + 1))]
+        where = [row, of, *(of[times >= k] for k in range(2, LEVELS + 1))]
+        order = np.argsort(np.concatenate(where), kind="stable")
+        yield a, b, np.concatenate(where)[order], np.concatenate(every)[order]
 
 
 @dataclass
@@ -63,6 +74,10 @@ class Model:
     weights: np.ndarray  # mean of the classifiers
     bias: float
     threshold: float
+    own: dict[str, float] = field(default_factory=dict)  # thresholds by language
+
+    def toxic(self, scores: np.ndarray, langs: list[str | None]) -> np.ndarray:
+        return scores > np.array([self.own.get(x or "", self.threshold) for x in langs], np.float64)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
@@ -72,13 +87,12 @@ class Model:
             at = np.searchsorted(self.features, h)
             at[at == len(self.features)] = 0
             hit = self.features[at] == h
-            pair = np.unique(row[hit] * len(self.features) + at[hit])
-            out[a:b] += np.bincount(pair // len(self.features), self.weights[pair % len(self.features)], b - a)
+            out[a:b] += np.bincount(row[hit], self.weights[at[hit]], b - a)
         return out
 
 
 def choose_features(sets: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
-    """Hashes of the words that mark positives, and of the most common others."""
+    """Hashes of the words, stems and levels that mark positives."""
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     h, back = np.unique(flat, return_inverse=True)
@@ -87,8 +101,7 @@ def choose_features(sets: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
     rate = (p + u + 1) / (n + m + 1)
     z = (p / n - u / m) / np.sqrt(rate * (1 - rate) * (1 / n + 1 / m) + 1e-12)
     marks = (z >= LEAST_Z) & (p >= np.maximum(2, LEAST_SHARE * n))
-    common = np.argsort(-(p + u) * ~marks, kind="stable")[:COMMON]
-    return np.unique(np.concatenate([h[marks], h[common]]))
+    return h[marks]
 
 
 def _matrix(sets: list[np.ndarray], features: np.ndarray) -> np.ndarray:
@@ -133,7 +146,7 @@ def best_threshold(sp: np.ndarray, su: np.ndarray, prior: float) -> float:
     return float(middle[good[int(np.argmax(gap))]])
 
 
-def train(sets: list[np.ndarray], positive: np.ndarray, prior: float) -> Model:
+def train(sets: list[np.ndarray], positive: np.ndarray, prior: float, langs: list[str] | None = None) -> Model:
     """sets: distinct word hashes of each sampled text; positive: the confirmed ones, all others are the unlabelled set."""
     if not positive.any() or positive.all():
         return Model(np.zeros(0, np.uint64), np.zeros(0), -1.0, np.inf)
@@ -142,7 +155,13 @@ def train(sets: list[np.ndarray], positive: np.ndarray, prior: float) -> Model:
     fits = [fit_nnpu(x[positive], x[~positive], prior, seed) for seed in range(CLASSIFIERS)]
     w, bias = np.mean([f[0] for f in fits], 0), float(np.mean([f[1] for f in fits]))
     s = x @ w + bias
-    return Model(features, w, bias, best_threshold(s[positive], s[~positive], prior))
+    own, tongue = {}, np.array(langs if langs is not None else [""] * len(sets))
+    for lang in np.unique(tongue):
+        p, u = positive & (tongue == lang), ~positive & (tongue == lang)
+        if p.sum() >= OWN_THRESHOLD and u.any():
+            here = prior * p.sum() / positive.sum() * (~positive).sum() / u.sum()
+            own[str(lang)] = best_threshold(s[p], s[u], min(1.0, here))
+    return Model(features, w, bias, best_threshold(s[positive], s[~positive], prior), own)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
@@ -156,19 +175,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     # thin the negatives alike, so that the unlabelled set has the table's share of toxic texts
     u = one.filter(hidden).orderBy(*order).limit(max_unlabelled).withColumn("is_p", F.lit(False))
     chosen = p.unionByName(u).select(F.col("doc_id").alias("l_id"), "is_p")  # bounded by the two parameters, so it is broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("is_p", "text")
+    texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("is_p", F.coalesce("lang", F.lit("")), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            positive = batch.column(0).to_pylist()
-            for a, b, row, h in word_sets(batch.column(1).to_pylist()):
-                sets = [np.unique(h[x:y]).tobytes() for x, y in zip(np.searchsorted(row, range(b - a)), np.searchsorted(row, range(b - a), "right"), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(positive[a:b]), pa.array(sets, pa.binary())], ["is_p", "words"])
+            for a, b, row, h in word_sets(batch.column(2).to_pylist()):
+                sets = [np.sort(h[x:y]).tobytes() for x, y in zip(np.searchsorted(row, range(b - a)), np.searchsorted(row, range(b - a), "right"), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sets, pa.binary())], ["is_p", "lang", "words"])
 
-    got = texts.mapInArrow(run, "is_p boolean, words binary").distinct().toArrow()
-    order_ = sorted(range(got.num_rows), key=lambda i: (got["is_p"][i].as_py(), got["words"][i].as_py()))
-    sets = [np.frombuffer(got["words"][i].as_py(), np.uint64) for i in order_]
-    return train(sets, np.array([got["is_p"][i].as_py() for i in order_], bool), float(share))
+    got = texts.mapInArrow(run, "is_p boolean, lang string, words binary").distinct().toArrow()
+    rows = sorted(zip(*(got[c].to_pylist() for c in ("is_p", "lang", "words")), strict=True))
+    return train([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[0] for r in rows], bool), float(share), [r[1] for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -180,11 +197,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             s = m.scores(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(s), pa.array(s > m.threshold)], ["doc_id", "score", "toxic"])
+            toxic = m.toxic(s, batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(s), pa.array(toxic)], ["doc_id", "score", "toxic"])
 
         return step
 
-    return in_arrow(docs.select("doc_id", "text"), make, SCHEMA)
+    return in_arrow(docs.select("doc_id", "text", "lang"), make, SCHEMA)
 
 
 def find_toxic(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
