@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import quality_queries
+
+QUERIES: dict = dict(quality_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(quality_queries.ORACLE_SQL)
