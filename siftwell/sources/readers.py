@@ -48,7 +48,7 @@ def run_sql(spark: SparkSession, sql: str, args: dict | None = None, max_rows: i
 def rows_to_chunks(df: DataFrame, text: str, metadata: list[str], size: int = 500, source: str = "database") -> DataFrame:
     """Rows as chunks of fixed width without overlap; a null text is the string None, blank ones go, chunk_index only where a row was cut."""
     whole = df.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("None"))).filter(F.col("_t").rlike("(?U)\\S"))
-    meta = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.col(c).cast("string")) for c in metadata])) if metadata else F.create_map().cast("map<string,string>")
+    meta = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in metadata])) if metadata else F.create_map().cast("map<string,string>")
     parts = whole.select(meta.alias("_m"), (F.length("_t") > size).alias("_cut"), F.inline(windows(F.col("_t"), size)))
     return parts.select(F.col("chunk").alias("text"), F.lit(source).alias("source"), F.when(F.col("_cut"), F.map_concat("_m", F.create_map(F.lit("chunk_index"), F.col("chunk_index").cast("string")))).otherwise(F.col("_m")).alias("metadata"), F.lit(1.0).alias("quality_score"))
 
@@ -184,7 +184,7 @@ def read_feeds(df: DataFrame, xml: str = "xml", max_items: int = 100) -> DataFra
 
 def feed_chunks(items: DataFrame, feed_url: str = "") -> DataFrame:
     """Items with content as chunks."""
-    meta = F.map_filter(F.map_from_entries(F.array(*[F.struct(F.lit(k), v) for k, v in (("title", F.col("title")), ("link", F.col("link")), ("published", F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss")), ("author", F.col("author")), ("categories", F.array_join("categories", ",")))])), lambda k, v: v.isNotNull() & (v != ""))
+    meta = F.map_filter(F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in (("title", F.col("title")), ("link", F.col("link")), ("published", F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss")), ("author", F.col("author")), ("categories", F.array_join("categories", ",")))])), lambda k, v: v.isNotNull() & (v != ""))
     return items.filter(F.col("content").rlike("(?U)\\S")).select(F.col("content").alias("text"), F.coalesce(F.nullif(F.col("link"), F.lit("")), F.lit(feed_url)).alias("source"), meta.alias("metadata"), F.lit(1.0).alias("quality_score"))
 
 
