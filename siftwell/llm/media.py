@@ -261,6 +261,12 @@ def _lanes(image, pos, end, units, data, orders, lum_at, places, dcs, acs, out,
     now = table[kind, 0]  # luminance, DC table, AC table, component of the block at hand
     pos, lum_at = pos.astype(np.int64).copy(), lum_at.astype(np.int64).copy()
     live = lane[units > 0]
+
+    def fail(lanes: np.ndarray, at: np.ndarray) -> None:
+        """No code fits: the data ended within it, or they are broken."""
+        status[image[lanes]] = np.where(at + 16 > end[lanes], 1, 2)
+        units[lanes] = 0
+
     while len(live):
         p = pos[live]
         w = window[p >> 3] << (p & 7).astype(np.uint64)
@@ -280,8 +286,7 @@ def _lanes(image, pos, end, units, data, orders, lum_at, places, dcs, acs, out,
             lum_at[lum] += 1
             pos[at] += n + size
             k[at] = 1
-            status[image[at[bad]]] = 2
-            units[at[bad]] = 0
+            fail(at[bad], p[first][bad])
         at = live[~first]
         if len(at):
             e = now[at, 2] * 65536 + code[~first]
@@ -290,9 +295,7 @@ def _lanes(image, pos, end, units, data, orders, lum_at, places, dcs, acs, out,
             n = np.where(use, many[e], one[e])
             k[at] += np.where(use, np.where(over[e], 64, steps[e]), step[e])
             pos[at] += n
-            bad = n == 0
-            status[image[at[bad]]] = 2
-            units[at[bad]] = 0
+            fail(at[n == 0], p[~first][n == 0])
         done = live[k[live] >= 64]
         if len(done):
             k[done] = 0
