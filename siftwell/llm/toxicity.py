@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_io import in_arrow, ship, slices
+from .spark_io import cut, in_arrow, ship, slices
 from .textvec import LETTER, classes, code_points, mix, span_hashes, words
 
 #: The bounds of the training sample, and the other production parameters.
@@ -91,22 +91,25 @@ class Model:
         return out
 
 
-def choose_features(sets: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
-    """Hashes of the words, stems and levels that mark positives."""
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    h, back = np.unique(flat, return_inverse=True)
-    p, u = (np.bincount(back[positive[row] == on], minlength=len(h)) for on in (True, False))
+def choose_features(held: list[np.ndarray], positive: np.ndarray, candidates: int) -> np.ndarray:
+    """Places among the candidates that mark positives; held: the candidates that each text has."""
+    row = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    flat = np.concatenate(held) if held else np.zeros(0, np.int64)
+    p, u = (np.bincount(flat[positive[row] == on], minlength=candidates) for on in (True, False))
     n, m = max(1, int(positive.sum())), max(1, int((~positive).sum()))
     rate = (p + u + 1) / (n + m + 1)
     z = (p / n - u / m) / np.sqrt(rate * (1 - rate) * (1 / n + 1 / m) + 1e-12)
-    marks = (z >= LEAST_Z) & (p >= np.maximum(2, LEAST_SHARE * n))
-    return h[marks]
+    return np.flatnonzero((z >= LEAST_Z) & (p >= least_positives(n)))
 
 
-def _matrix(sets: list[np.ndarray], features: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(sets), len(features)), np.float32)
-    for i, s in enumerate(sets):
+def least_positives(n: int) -> int:
+    """In how many of n positives a feature must be."""
+    return max(2, int(np.ceil(LEAST_SHARE * n)))
+
+
+def _matrix(held: list[np.ndarray], features: np.ndarray) -> np.ndarray:
+    x = np.zeros((len(held), len(features)), np.float32)
+    for i, s in enumerate(held):
         x[i, np.isin(features, s, assume_unique=True)] = 1
     return x
 
@@ -146,46 +149,65 @@ def best_threshold(sp: np.ndarray, su: np.ndarray, prior: float) -> float:
     return float(middle[good[int(np.argmax(gap))]])
 
 
-def train(sets: list[np.ndarray], positive: np.ndarray, prior: float, langs: list[str] | None = None) -> Model:
-    """sets: distinct word hashes of each sampled text; positive: the confirmed ones, all others are the unlabelled set."""
+def train(candidates: np.ndarray, held: list[np.ndarray], positive: np.ndarray, prior: float, langs: list[str] | None = None) -> Model:
+    """candidates: sorted hashes; held: places of those that each sampled text has; positive: the confirmed ones, all others are the unlabelled set."""
     if not positive.any() or positive.all():
         return Model(np.zeros(0, np.uint64), np.zeros(0), -1.0, np.inf)
-    features = choose_features(sets, positive)
-    x = _matrix(sets, features)
+    features = choose_features(held, positive, len(candidates))
+    x = _matrix(held, features)
     fits = [fit_nnpu(x[positive], x[~positive], prior, seed) for seed in range(CLASSIFIERS)]
     w, bias = np.mean([f[0] for f in fits], 0), float(np.mean([f[1] for f in fits]))
     s = x @ w + bias
-    own, tongue = {}, np.array(langs if langs is not None else [""] * len(sets))
+    own, tongue = {}, np.array(langs if langs is not None else [""] * len(held))
     for lang in np.unique(tongue):
         p, u = positive & (tongue == lang), ~positive & (tongue == lang)
         if p.sum() >= OWN_THRESHOLD and u.any():
             here = prior * p.sum() / positive.sum() * (~positive).sum() / u.sum()
             own[str(lang)] = best_threshold(s[p], s[u], min(1.0, here))
-    return Model(features, w, bias, best_threshold(s[positive], s[~positive], prior), own)
+    return Model(candidates[features], w, bias, best_threshold(s[positive], s[~positive], prior), own)
+
+
+def candidate_hashes(texts: DataFrame) -> np.ndarray:
+    """Sorted hashes that enough positives have; texts (is_p, lang, text). Counted in the tasks, so the driver gets the common ones alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, h in word_sets(batch.column(0).to_pylist()):
+                hashes, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    good = texts.filter("is_p")
+    least = least_positives(good.count())
+    got = good.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h").toArrow()
+    return np.sort(np.array(got["h"].to_pylist(), np.int64).view(np.uint64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     ship(docs.sparkSession)
-    one = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    one = cut(labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     share = one.agg(F.avg("toxic")).first()[0] or 0.0
     order = [F.xxhash64("doc_id", F.lit(11)), "doc_id"]
-    # a positive serves in one set or the other: every other one stays among the unlabelled
+    # a positive serves in one set or the other, by its hash: so the unlabelled set has the table's share of toxic texts
     hidden = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == 0
     p = one.filter((F.col("toxic") == 1) & ~hidden).orderBy(*order).limit(max_positive).withColumn("is_p", F.lit(True))
-    # thin the negatives alike, so that the unlabelled set has the table's share of toxic texts
     u = one.filter(hidden).orderBy(*order).limit(max_unlabelled).withColumn("is_p", F.lit(False))
     chosen = p.unionByName(u).select(F.col("doc_id").alias("l_id"), "is_p")  # bounded by the two parameters, so it is broadcast
-    texts = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("is_p", F.coalesce("lang", F.lit("")), "text")
+    texts = cut(docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("is_p", F.coalesce("lang", F.lit("")).alias("lang"), "text").distinct())
+    known = candidate_hashes(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, row, h in word_sets(batch.column(2).to_pylist()):
-                sets = [np.sort(h[x:y]).tobytes() for x, y in zip(np.searchsorted(row, range(b - a)), np.searchsorted(row, range(b - a), "right"), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sets, pa.binary())], ["is_p", "lang", "words"])
-
-    got = texts.mapInArrow(run, "is_p boolean, lang string, words binary").distinct().toArrow()
-    rows = sorted(zip(*(got[c].to_pylist() for c in ("is_p", "lang", "words")), strict=True))
-    return train([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[0] for r in rows], bool), float(share), [r[1] for r in rows])
+                at = np.searchsorted(known, h)
+                at[at == len(known)] = 0
+                hit = known[at] == h if len(known) else np.zeros(len(h), bool)
+                row, at = row[hit], at[hit].astype(np.int32)
+                sets = [np.sort(at[x:y]).tobytes() for x, y in zip(np.searchsorted(row, range(b - a)), np.searchsorted(row, range(b - a), "right"), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sets, pa.binary())], ["is_p", "lang", "held"])
+
+    got = texts.mapInArrow(run, "is_p boolean, lang string, held binary").toArrow()
+    rows = sorted(zip(*(got[c].to_pylist() for c in ("is_p", "lang", "held")), strict=True))
+    return train(known, [np.frombuffer(r[2], np.int32) for r in rows], np.array([r[0] for r in rows], bool), float(share), [r[1] for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
