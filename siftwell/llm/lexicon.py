@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, tokenised, vocabulary
-from .spark_io import in_arrow, put_file, ship, vocabulary_path
+from .quality import bucket
+from .spark_io import cut, in_arrow, put_file, ship, vocabulary_path
 from .textvec import code_points, ragged, span_hashes
 
 #: Words in the lexicon, and distinct words that a counting task holds before it passes them on.
@@ -179,10 +180,24 @@ class Decoder:
         return self.bytes[ragged(self.begin[ids], size)].tobytes(), size
 
 
+def frequent(counts: DataFrame, words: int) -> DataFrame:
+    """The words of the most common buckets of counts that hold no more than so many words; counts has been materialised.
+
+    A top-k would send k rows of every task to the driver; the histogram of counts has a few hundred rows whatever the corpus."""
+    hist = sorted(counts.groupBy(bucket(F.col("n")).alias("b")).agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True)
+    total, least = 0, None
+    for r in hist:
+        total += r["k"]
+        if total > words:
+            break
+        least = r["b"]
+    return counts.filter(bucket(F.col("n")) >= least) if least is not None else counts.limit(0)
+
+
 def build_lexicon(docs: DataFrame, path: str, words: int = WORDS) -> str:
-    """Count all words, compile the most frequent ones (ties by word), ship the file; returns its name."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(words).collect()
-    strings = [r["word"].encode("utf-8") for r in top]
+    """Count all words, compile the most frequent ones, ship the file; returns its name. Which words are in never changes ids."""
+    top = frequent(cut(word_counts(docs)), words).collect()
+    strings = sorted(r["word"].encode("utf-8") for r in top)
     flat, counts = vocabulary(path).merge(strings)
     ends = np.cumsum(counts)
     data = compile_lexicon(strings, [flat[b - n : b].tolist() for n, b in zip(counts, ends, strict=True)])
