@@ -122,7 +122,7 @@ pairs AS (SELECT a, b, k / (na + nb - k) AS similarity FROM (SELECT x.doc_id AS
 
 _GRAMS = "list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))"
 _SHINGLES = _pairs_sql(_GRAMS, NEAR)
-_SCORED = f"{SIG} SELECT doc_id, round(extraction, 6) AS extraction, round(coherence, 6) AS coherence, round(density, 6) AS density, round(duplicate, 6) AS duplicate, round(score, 6) AS score, passed, codes FROM ({Q.chunk_scores()})"
+_SCORED = f"{SIG} SELECT doc_id, round(extraction, 6) AS extraction, round(CAST(coherence AS DOUBLE), 6) AS coherence, round(density, 6) AS density, round(CAST(duplicate AS DOUBLE), 6) AS duplicate, round(score, 6) AS score, passed, codes FROM ({Q.chunk_scores()})"
 _FOLD = "list_reduce(list_concat([{start}], list_transform({pieces}, lambda p: {{'done': []::VARCHAR[], 'open': p, 'length': 0, 'count': 0}})), lambda s, q: {step})"
 
 QUERIES, ORACLE_SQL = {}, {}
