@@ -23,10 +23,21 @@ from .spark_io import in_arrow, ship, wrapped
 
 SECRET, LINK = 10.0, math.log10(2)
 MARK = "<SECRET>"
-_KEYS = "passwords?|passwd|pwd|passphrase|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|secret[_-]?keys?|private[_-]?keys?|auth|credentials?|bearer"
-CONTEXT = rf"(?i)(?<![a-z0-9])((?:[a-z0-9]+[_-])*(?:{_KEYS}))[\"']?[ \t]*(?::=|=>|=|:)[ \t]*(?:[\"']([^\"'\r\n]{{4,}})[\"']|([^\s\"'<>,;)]{{4,}}))"
+_KEYS = "passwords?|passwd|pwd|passphrase|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|secret[_-]?keys?|private[_-]?keys?|auth|(?:proxy-)?authorization|credentials?|bearer"
+#: The words of a name before a camelCase boundary: accessToken, dbPassword, AWSSecretKey.
+_CAMEL = r"(?-i:[A-Za-z0-9]*(?:[a-z0-9](?=[A-Z])|[A-Z](?=[A-Z][a-z])))"
+_NAME = rf"(?:[a-z0-9]+[_-])*(?:{_CAMEL})?(?:{_KEYS})"
+_IS = r"[\"']?[ \t]*(?::=|=>|=|:)[ \t]*"
+_SCHEME = r"(?:(?:bearer|basic)[ \t]+(?=[^\s\"']{8}))?"
+#: A quoted value ends at its own quote and may hold escapes; a bare one ends at white space or at the next name in a list, its last punctuation is no part of it. An authorization scheme may stand alone before what looks like a credential.
+CONTEXT = (
+    rf"(?i)(?<![a-z0-9])(?<![a-z0-9][_-])(?:(?P<key>{_NAME}){_IS}(?:(?P<quote>[\"']){_SCHEME}(?P<quoted>(?:\\[^\r\n]|(?!(?P=quote))[^\\\r\n]){{4,}})(?P=quote)"
+    rf"|{_SCHEME}(?![\"']|<[^<>\s]*>)(?P<bare>(?:(?![,;][\"']?{_NAME}{_IS})\S){{4,}}))"
+    r"|(?P<scheme>bearer|basic)[ \t]+(?=[a-z+/._~=-]*[0-9])(?P<credential>[a-z0-9+/._~=-]{16,}))"
+)
+_LAST = ".,;:!?)]}>\"'`"
 #: What a text must hold for CONTEXT to match; cheap enough to run over everything.
-NEAR = r"(?i)(?:passw|passphrase|pwd|secret|token|key|auth|credential|bearer)"
+NEAR = r"(?i)(?:passw|passphrase|pwd|secret|token|key|auth|credential|bearer|basic[ \t])"
 SCHEMA = "doc_id long, position int, keyword string, value string, guesses_log10 double, segments array<string>, is_secret boolean"
 #: Common passwords and words, most common first; a word costs the log10 of its rank.
 WORDS = (
@@ -151,8 +162,10 @@ def findings(text: str | None) -> list[tuple[int, int, str, str, float, tuple[st
     """(start, end, keyword, value, cost, spans) of each credential-context value."""
     out = []
     for m in _context().finditer(text or ""):
-        which = 2 if m[2] is not None else 3
-        out.append((m.start(which), m.end(which), m[1].lower(), m[which], *judged(m[which])))
+        which = next(k for k in ("quoted", "bare", "credential") if m[k] is not None)
+        value = m[which] if which == "quoted" else m[which].rstrip(_LAST)
+        if len(value) >= 4:
+            out.append((m.start(which), m.start(which) + len(value), (m["key"] or m["scheme"]).lower(), value, *judged(value)))
     return out
 
 

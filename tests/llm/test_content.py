@@ -52,6 +52,37 @@ def test_secrets(docs, odd):
     assert all(r.n_chars == len(r.text) for r in secrets.redact(docs(rows)).collect() if r.text is not None)
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ('"accessToken": "04dbK9fQ2vLx81P"', "04dbK9fQ2vLx81P"),
+        ('clientSecret = "Zk9fQ2vLx81Pqq"', "Zk9fQ2vLx81Pqq"),
+        ("userPassword = 'Zk9fQ2vLx81Pqq'", "Zk9fQ2vLx81Pqq"),
+        ("dbPassword=Zk9fQ2vLx81Pqq", "Zk9fQ2vLx81Pqq"),
+        ("AWSSecretKey=Zk9fQ2vLx81Pqq", "Zk9fQ2vLx81Pqq"),
+        ('password = "it\'s-Zk9fQ2vLx81P"', "it's-Zk9fQ2vLx81P"),
+        ('password = "a\\"b-Zk9fQ2vLx81P"', 'a\\"b-Zk9fQ2vLx81P'),
+        *[(f"password: Zk9f{c}Q2vLx81Pqq, next", f"Zk9f{c}Q2vLx81Pqq") for c in ";,)<>'\""],
+        ("(token=Zk9fQ2vLx81Pqq).", "Zk9fQ2vLx81Pqq"),
+        ("Authorization: Bearer Zk9fQ2vLx81Pqq.Rt5x", "Zk9fQ2vLx81Pqq.Rt5x"),
+        ('"Authorization": "Basic Zk9fQ2vLx81Pqq=="', "Zk9fQ2vLx81Pqq=="),
+        ('curl -H "Authorization: Bearer Zk9fQ2vLx81Pqq"', "Zk9fQ2vLx81Pqq"),
+        ("sent with Bearer Zk9fQ2vLx81PqqRt5x", "Zk9fQ2vLx81PqqRt5x"),
+    ],
+)
+def test_secret_contexts(text, value):
+    assert [f[3] for f in secrets.findings(text)] == [value]
+    assert secrets.redacted(text) == text.replace(value, secrets.MARK)
+    assert secrets.redacted(secrets.redacted(text)) == secrets.redacted(text)
+
+
+def test_secret_lists():
+    found = secrets.findings("password=abcd1234,apiToken=Zk9fQ2vLx81Pqq;pwd:Rt5xQ2vLx81Pqq")
+    assert [f[2:4] for f in found] == [("password", "abcd1234"), ("apitoken", "Zk9fQ2vLx81Pqq"), ("pwd", "Rt5xQ2vLx81Pqq")]
+    for plain in ("monkey: bananas and more", "basic principles of bearer bonds", "the token of a <placeholder>", "password: <your-password>"):
+        assert secrets.redacted(plain) == plain
+
+
 def words_of(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
 
