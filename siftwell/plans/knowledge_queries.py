@@ -229,11 +229,11 @@ def s09_html_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def s10_sitemap(spark: SparkSession, sf: str) -> DataFrame:
-    """The pages' URLs by way of one sitemap a language folder."""
-    esc = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    """The pages' URLs by way of sitemaps of a thousand ids each, so that their size doesn't follow the table's; every entry is read, however often an id repeats."""
+    esc = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     entry = F.concat(F.lit("<url><loc>"), esc, F.lit("</loc><lastmod>2024-01-05</lastmod><priority>0.5</priority></url>"))
-    maps = table(spark, sf, "pages").groupBy((F.col("page_id") % 16).alias("g")).agg(F.array_join(F.collect_list(entry), "").alias("u")).select(F.concat(F.lit("<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>"), "u", F.lit("</urlset>")).alias("xml"))
-    return S.read_sitemaps(maps).select("loc", F.date_format("lastmod", "yyyy-MM-dd").alias("lastmod"), "priority")
+    maps = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 1000).alias("g")).agg(F.array_join(F.collect_list(entry), "").alias("u")).select(F.concat(F.lit("<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'>"), "u", F.lit("</urlset>")).alias("xml"))
+    return S.read_sitemaps(maps, max_urls=None).select("loc", F.date_format("lastmod", "yyyy-MM-dd").alias("lastmod"), "priority")
 
 
 def s11_feed(spark: SparkSession, sf: str) -> DataFrame:

@@ -149,8 +149,8 @@ def sitemap_urls(xml: str | None) -> list[tuple]:
     return out
 
 
-def read_sitemaps(df: DataFrame, xml: str = "xml", max_urls: int = 10_000) -> DataFrame:
-    """One row an entry, of each document the first max_urls."""
+def read_sitemaps(df: DataFrame, xml: str = "xml", max_urls: int | None = 10_000) -> DataFrame:
+    """One row an entry, of each document the first max_urls, or all for None."""
     return _per_row(df, [xml], lambda x: sitemap_urls(x)[:max_urls], "kind string, loc string, lastmod timestamp, changefreq string, priority double")
 
 

@@ -15,6 +15,7 @@ from siftwell.operators import registry as R
 from siftwell.operators import relevance as V
 from siftwell.operators import rules as L
 from siftwell.operators import store as K
+from siftwell.plans import knowledge_queries as Q
 from siftwell.sources import readers as G
 
 CHUNK = "id long, text string, source string, metadata map<string,string>"
@@ -155,3 +156,11 @@ def test_sources(spark):
     assert [tuple(r) for r in q.select(G.writes(F.col("q")), G.read_only(F.col("q"))).collect()] == [(False, True), (True, False), (False, False), (False, True)]
     with pytest.raises(ValueError):
         G.run_sql(spark, "DROP TABLE x")
+
+
+def test_sitemaps_hold_every_page(spark, tmp_path):
+    n = 170_000
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/?a=1&b="), "id").alias("url"))
+    pages.unionByName(spark.range(11_000).select(F.lit(7).cast("long").alias("page_id"), F.concat(F.lit("http://r/<"), "id").alias("url"))).write.parquet(f"{tmp_path}/pages.parquet")
+    r = Q.s10_sitemap(spark, str(tmp_path)).agg(F.count_distinct("loc").alias("n"), F.max("loc").alias("last")).first()
+    assert r.n == n + 11_000 and r.last == "http://r/<9999"
