@@ -326,9 +326,10 @@ def difference_hash(thumbs: list[np.ndarray], shapes: list[tuple[int, int]]) ->
 def features(images: list[bytes | None]) -> list[tuple]:
     """(status, width, height, components, thumb width, thumb height, thumbnail, hash) of each image."""
     out: list[tuple] = [("empty", *[None] * 7)] * len(images)
-    for a, b in slices([len(x or b"") for x in images], SLICE):
+    order = sorted(range(len(images)), key=lambda i: len(images[i] or b""))  # a slice takes as long as its longest lane, so images of like size share one
+    for a, b in slices([len(images[i] or b"") for i in order], SLICE):
         rows, heads = [], []
-        for i in range(a, b):
+        for i in order[a:b]:
             if not images[i]:
                 continue
             try:

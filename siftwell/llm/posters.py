@@ -1,11 +1,13 @@
 """Baseline JPEG writing, and a poster of each page, as the given tables hold no images.
 
-A page's poster shows its whole source: the bytes of the HTML, in order, are averaged into pixels. Its size, its sampling
+A page's poster shows its whole source: every byte of the HTML, in order, has a pixel, so the image grows with the page; one
+of less than 72 x 64 pixels is enlarged to that, so that thumbnails have 9 x 8 pixels at least. Its size, its sampling
 (grey, 4:4:4 or 4:2:0) and its restart interval follow from the page, so that the media operator meets all of them."""
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,7 +121,7 @@ def encode(planes: list[np.ndarray], width: int, height: int, halved: bool = Fal
 
 
 def _shrunk(data: np.ndarray, width: int, height: int) -> np.ndarray:
-    """All bytes in order, averaged into so many pixels."""
+    """All bytes in order, spread or averaged over so many pixels."""
     n, pixels = len(data), width * height
     edge = np.arange(pixels) * n // pixels
     if n < pixels:
@@ -134,7 +136,8 @@ def poster(html: str | None) -> bytes | None:
     n = len(data)
     if not n:
         return None
-    width, height, mode = 24 + n % 41, 16 + n // 41 % 33, n % 3
+    width = max(72, math.isqrt(n * 4 // 3)) + n % 41
+    height, mode = max(64, -(-n // width)), n % 3
     y = _shrunk(data, width, height)
     if mode == 0:
         return encode([y], width, height)

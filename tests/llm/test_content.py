@@ -227,3 +227,12 @@ def test_pipeline(spark, tables):
     out = p.run(spark, tables).collect()
     assert len(out) == seen[3] and all(r.round_trip for r in out)
     assert not {r.doc_id for r in out} & {*range(200, 220), 300}
+
+
+def test_posters_grow():
+    rng = random.Random(7)
+    pages = ["<p>" + words_of(rng, n) for n in (1, 30, 300, 3000, 15_000)] + ["<p>" + words_of(rng, 300) for _ in range(40)]
+    got = media.features([posters.poster(p) for p in pages])
+    assert {r[0] for r in got} == {"ok"} and all(r[1] * r[2] >= len(p) for p, r in zip(pages, got, strict=True))
+    assert all(r[4] >= 9 and r[5] >= 8 for r in got)
+    assert len({r[7] for r in got}) == len(pages)
