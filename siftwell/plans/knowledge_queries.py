@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import cut
 from ..operators import chunk_score as C
+from ..operators import duplicates as D
 from ..operators import health as H
 from ..operators import registry as R
 from ..operators import relevance as V
 from ..operators import rules as L
 from ..operators import store as K
 from ..sources import readers as S
+from . import quality_queries as B
 from .tables import six, table
 
 RULES = [
@@ -136,21 +139,23 @@ def a06_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a07_drift(spark: SparkSession, sf: str) -> DataFrame:
-    r = H.drift(C.validate(_meta(spark, sf)), 0.8)
+    r = H.drift(B.validated(spark, sf), 0.8)
     return r.select("baseline", "improved", *[six(F.col(c)).alias(c) for c in ("current", "change", "change_pct")])
 
 
 def a08_health(spark: SparkSession, sf: str) -> DataFrame:
     stale = H.staleness_report(_stale(spark, sf)).select("staleness_ratio")
-    quality = C.report(C.validate(_meta(spark, sf))).select("avg_score")
+    pairs = cut(B.near(spark, sf))
+    quality = C.report(B.validated(spark, sf, pairs)).select("avg_score")
+    copies = D.group_report(table(spark, sf, "documents"), pairs).select("duplicate_groups")
     missing = H.coverage(table(spark, sf, "documents"), TOPICS).agg(F.sum((~F.col("covered")).cast("int")).alias("missing_topics"))
-    one = stale.crossJoin(quality).crossJoin(missing)
-    return one.select(six(F.col("staleness_ratio")).alias("staleness_ratio"), six(F.col("avg_score")).alias("avg_quality"), F.col("missing_topics").cast("long").alias("missing_topics"), F.array_join(H.recommendations(F.col("staleness_ratio"), F.lit(0), F.col("missing_topics"), F.col("avg_score")), ",").alias("recommendations"))
+    one = stale.crossJoin(quality).crossJoin(missing).crossJoin(copies)
+    return one.select(six(F.col("staleness_ratio")).alias("staleness_ratio"), six(F.col("avg_score")).alias("avg_quality"), F.col("missing_topics").cast("long").alias("missing_topics"), F.array_join(H.recommendations(F.col("staleness_ratio"), F.col("duplicate_groups"), F.col("missing_topics"), F.col("avg_score")), ",").alias("recommendations"))
 
 
 def a11_intent_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """Quality gate, then relevance: counts of each step."""
-    good = C.validate(_meta(spark, sf)).select(F.col("id").alias("doc_id"), "passed")
+    good = B.validated(spark, sf).select(F.col("id").alias("doc_id"), "passed")
     d = good.join(_decided(spark, sf).select("doc_id", "decision"), "doc_id", "left")
     on = lambda c: F.count(F.when(c, 1))
     return d.agg(F.count(F.lit(1)).alias("total"), on(F.col("passed")).alias("quality_passed"), on(F.col("passed") & (F.col("decision") == "accept")).alias("accepted"), on(F.col("passed") & (F.col("decision") == "reject")).alias("rejected"))

@@ -79,9 +79,18 @@ def d2_word_set_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf, D.words, 0.92).select("a", "b", six(F.col("similarity")).alias("similarity"))
 
 
+def validated(spark: SparkSession, sf: str, pairs: DataFrame | None = None) -> DataFrame:
+    """All documents as one batch, each checked against the earlier ones too."""
+    known = D.penalties(near(spark, sf) if pairs is None else pairs).withColumnRenamed("duplicate", "dup")
+    return C.validate(C.chunks(_docs(spark, sf)).join(known, "id", "left"), duplicate=F.col("dup")).drop("dup")
+
+
+def near(spark: SparkSession, sf: str) -> DataFrame:
+    return _pairs(spark, sf, D.shingles, NEAR)
+
+
 def d3_scored_with_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    known = D.penalties(_pairs(spark, sf, D.shingles, NEAR)).withColumnRenamed("duplicate", "dup")
-    v = C.validate(C.chunks(_docs(spark, sf)).join(known, "id", "left"), duplicate=F.col("dup"))
+    v = validated(spark, sf)
     return v.select(F.col("id").alias("doc_id"), six(F.col("duplicate")).alias("duplicate"), six(F.col("score")).alias("score"), "passed", C.codes().alias("codes"))
 
 
@@ -94,20 +103,20 @@ def a05_duplicate_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a01_batch_report(spark: SparkSession, sf: str) -> DataFrame:
-    r = C.report(C.validate(C.chunks(_docs(spark, sf))))
+    r = C.report(validated(spark, sf))
     return r.withColumn("avg_score", six(F.col("avg_score")))
 
 
 def a02_issue_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return C.issue_histogram(C.validate(C.chunks(_docs(spark, sf))))
+    return C.issue_histogram(validated(spark, sf))
 
 
 def p01_accepted(spark: SparkSession, sf: str) -> DataFrame:
-    return C.validate(C.chunks(_docs(spark, sf))).filter("passed").select(F.col("id").alias("doc_id"), "source")
+    return validated(spark, sf).filter("passed").select(F.col("id").alias("doc_id"), "source")
 
 
 def label_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    v = C.validate(C.chunks(_docs(spark, sf))).select(F.col("id").alias("doc_id"), "passed")
+    v = validated(spark, sf).select(F.col("id").alias("doc_id"), "passed")
     return v.join(table(spark, sf, "labels"), "doc_id").groupBy("quality", "passed").agg(F.count(F.lit(1)).alias("n"))
 
 

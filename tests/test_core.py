@@ -16,6 +16,7 @@ from siftwell.operators import relevance as V
 from siftwell.operators import rules as L
 from siftwell.operators import store as K
 from siftwell.plans import knowledge_queries as Q
+from siftwell.plans import quality_queries as B
 from siftwell.sources import readers as G
 
 CHUNK = "id long, text string, source string, metadata map<string,string>"
@@ -164,3 +165,18 @@ def test_sitemaps_hold_every_page(spark, tmp_path):
     pages.unionByName(spark.range(11_000).select(F.lit(7).cast("long").alias("page_id"), F.concat(F.lit("http://r/<"), "id").alias("url"))).write.parquet(f"{tmp_path}/pages.parquet")
     r = Q.s10_sitemap(spark, str(tmp_path)).agg(F.count_distinct("loc").alias("n"), F.max("loc").alias("last")).first()
     assert r.n == n + 11_000 and r.last == "http://r/<9999"
+
+
+def test_batches_check_duplicates(spark, tmp_path):
+    text = "The committee met on Monday and agreed to publish the yearly report of the northern river survey."
+    docs = [(1, text), (2, text), (3, "A quite different sentence tells of bread, butter, salt and how long a kitchen fire burns.")]
+    spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "x", "2024-02-14 00:00:00", 1.0)], "event_id long, event_type string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    sf = str(tmp_path)
+    lone = C.report(C.validate(C.chunks(spark.read.parquet(f"{sf}/documents.parquet")))).first()
+    assert {r.code: r.n for r in B.a02_issue_histogram(spark, sf).collect()}["NEAR_DUPLICATE"] == 1
+    batch, health, drift = B.a01_batch_report(spark, sf).first(), Q.a08_health(spark, sf).first(), Q.a07_drift(spark, sf).first()
+    assert batch.total == 3 and batch.warnings == lone.warnings + 1
+    for score in (batch.avg_score, health.avg_quality, drift.current):
+        assert score == pytest.approx(lone.avg_score - 0.25 / 3, abs=2e-6)
+    assert "REMOVE_DUPLICATES" in health.recommendations.split(",")
