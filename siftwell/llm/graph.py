@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .spark_io import cut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Each node links its neighbours (the larger ones, or the smaller ones and itself) to the least of its neighbourhood."""
+    """Each node links its neighbours (the larger ones, or the smaller ones and itself) to the least of its neighbourhood.
+
+    The least is an aggregate that tasks prepare, joined back: a node that very many are linked to is in no task whole."""
     if large:
         both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    seen = both.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a"))))
+    seen = both.join(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "a")
     if large:
         out = seen.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -1,19 +1,26 @@
 """Operator 10: n-gram Jaccard join by vertical partitioning.
 
 A text's grams are its distinct runs of N words, lower case, cut at white space. The global gram order (their hashes) is cut
-into fragments of equal range. Every text sends one short segment to each fragment; each fragment counts its part alone:
+into fragments of equal range; each fragment counts its part of every overlap alone, and the parts are summed:
 
-1. A fragment finds which of its grams other texts have too and in how many. The parts are summed per text: one that shares
-   fewer than T of its grams with any other text can't have a partner and is dropped, exactly.
-2. The texts that are left are linked where they share a gram of their prefix (rarest first, the fewest that no partner can
-   miss) and their sizes allow it. Every pair of the result lies inside one connected part.
-3. Inside a connected part, fragments count the overlap of every pair separately; the sums decide on it. Equal gram sets are
-   one class all the way. Parts beyond BLOCK classes are cut into pairs of blocks, so no case is left out.
+1. A task packs the grams of its texts by fragment: six bytes a gram and one for the step to the next text, so a document
+   takes as many bytes in a large input as in a small one. A fragment finds which of its grams other texts have too and in
+   how many. These partial counts are summed per text: one that shares fewer than T of its grams with any other text can't
+   have a partner and is dropped, exactly.
+2. Texts of equal gram sets are one class from here on. Classes are linked where they share a gram of their prefix (rarest
+   first, the fewest that no partner can miss) and their sizes allow it. Every pair of the result lies inside one connected
+   part.
+3. Inside a connected part, pieces of the gram order count the overlap of every pair of classes separately; the sums per pair
+   decide on it. A part beyond BLOCK classes or PIECE grams is dealt out by blocks of like size and by pieces, so no case is
+   left out and no task holds a whole part.
+
+The result has one row a document, so copies aren't expanded into pairs; no link between different texts is lost.
 
 Defined cases: a text of 1 to N - 1 words has itself as its only gram; null and empty texts have no grams and no partners; a
 null doc_id has no partners and its row is kept; rows with the same doc_id and text are one document, of which the filter
-keeps one row; rows with the same doc_id and other texts are never paired; other columns stay as they are, whatever their
-names; an empty table gives empty results. Grams are compared by 54 or more bits of a hash."""
+keeps one row; rows with the same doc_id and other texts are documents of their own; other columns stay as they are, whatever
+their names; an empty table gives empty results. Grams are compared by 52 or more bits of a hash: 48, and as many as number
+the fragments, 4 at least."""
 
 from __future__ import annotations
 
@@ -26,13 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .spark_io import BROADCAST_ROWS, cut, ship, slices, unwrapped, wrapped
+from .spark_io import BROADCAST_ROWS, cut, join_small, ship, slices, unwrapped, wrapped
 from .textvec import SPACE, classes, code_points, mix, ragged, span_hashes, words
 
 #: Production parameters: words in a gram and the least Jaccard similarity of a pair.
 N, T = 3, 0.5
-#: Physical sizes, without influence on results: input bytes for each fragment, texts held by a task before it sends segments, classes in a block, chars worked on at once.
-FRAGMENT_BYTES, HELD_GRAMS, BLOCK, SLICE = 8 << 20, 2_000_000, 2048, 600_000
+#: Physical sizes, without influence on results: input bytes for each fragment, grams held by a task before it sends them, classes in a block, grams in a piece, chars worked on at once.
+FRAGMENT_BYTES, HELD_GRAMS, BLOCK, PIECE, SLICE = 32 << 20, 2_000_000, 1024, 2_000_000, 600_000
 _EPS = 1e-9
 
 
@@ -71,13 +78,34 @@ def gram_sets(texts: list[str | None], n: int) -> Iterator[tuple[int, int, np.nd
         yield a, b, gram[first], np.bincount(row[first], minlength=b - a) if len(row) else np.zeros(b - a, np.int64)
 
 
-SEGMENTS = "frag int, uid binary, size binary, held binary, gram binary"
+def stepped(rows: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending rows of runs that start at begins as steps of a byte each, 255 going on; and where each run's bytes start."""
+    step = np.diff(rows, prepend=0)
+    step[begins] = rows[begins]
+    more = step // 255
+    at = np.cumsum(more) + np.arange(len(rows))
+    out = np.full(len(rows) + int(more.sum()), 255, np.uint8)
+    out[at] = step % 255
+    return out, at[begins] - more[begins]
+
+
+def unstepped(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.int64)[steps != 255]
+
+
+SEGMENTS = "frag int, pack long, steps binary, gram binary, uids binary, sizes binary"
 
 
 def segments(docs: DataFrame, fragments: int, n: int) -> DataFrame:
-    """Packed segments: of each fragment, the texts (doc_id and text hash), their numbers of grams, how many are here, and these grams."""
+    """The grams of packs of texts by fragment. One segment of each pack has its list of texts (doc_id, text hash) and their sizes.
+
+    A pack is named by what it holds, in order; so that a task that runs again makes the same packs, rows that don't come
+    straight from files are sorted first."""
     ship(docs.sparkSession)
     bits = fragments.bit_length() - 1
+    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("n_key"), "text")
+    if "Exchange" in texts._jdf.queryExecution().executedPlan().toString():
+        texts = texts.sortWithinPartitions("doc_id", "n_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -85,24 +113,20 @@ def segments(docs: DataFrame, fragments: int, n: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             uid, size, gram = (np.concatenate(x) for x in zip(*held, strict=True))
-            row = np.repeat(np.arange(len(uid)), size)
-            frag = (gram >> np.uint64(64 - bits)).astype(np.int32)
+            frag = (gram >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int32)
             order = np.argsort(frag, kind="stable")
-            frag, row, gram = frag[order], row[order], gram[order]
+            frag, row, gram = frag[order], np.repeat(np.arange(len(uid)), size)[order], gram[order]
             # six bytes of each gram go along, the fragment stands for the first bits
             low = (gram << np.uint64(bits)).byteswap().view(np.uint8).reshape(-1, 8)[:, :6]
-            edge = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (frag[1:] != frag[:-1])))
-            here = np.diff(np.append(edge, len(row)))
-            cuts = np.searchsorted(frag[edge], np.arange(fragments + 1))
-            ends = np.append(edge, len(row))
-            out: list[list] = [[], [], [], [], []]
-            for f in range(fragments):
-                a, b = cuts[f], cuts[f + 1]
-                if a < b:
-                    who = row[edge[a:b]]
-                    for column, x in zip(out, (f, uid[who].tobytes(), size[who].astype(np.int32).tobytes(), here[a:b].astype(np.int32).tobytes(), low[ends[a] : ends[b]].tobytes()), strict=True):
-                        column.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["frag", "uid", "size", "held", "gram"])
+            begins = np.flatnonzero(np.append(True, frag[1:] != frag[:-1]))
+            steps, at = stepped(row, begins)
+            pack = int(mix(uid.astype(np.uint64).reshape(-1) + mix(np.arange(2 * len(uid)).astype(np.uint64))).sum().view(np.int64))
+            k, ends, to = len(begins), np.append(begins[1:], len(row)), np.append(at[1:], len(steps))
+            columns = [
+                pa.array(frag[begins].astype(np.int32)), pa.array(np.full(k, pack)), pa.array([steps[a:b].tobytes() for a, b in zip(at, to, strict=True)], pa.binary()),
+                pa.array([low[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary()), *(pa.array([x.tobytes(), *[None] * (k - 1)], pa.binary()) for x in (uid, size.astype(np.int32))),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["frag", "pack", "steps", "gram", "uids", "sizes"])
 
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
@@ -116,188 +140,261 @@ def segments(docs: DataFrame, fragments: int, n: int) -> DataFrame:
         if total:
             yield flush()
 
-    return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("n_key"), "text").mapInArrow(run, SEGMENTS)
+    return texts.mapInArrow(run, SEGMENTS)
+
 
+def _often(count: np.ndarray) -> np.ndarray:
+    """A byte that ascends with the number of texts."""
+    return np.minimum(np.rint(8 * np.log2(count)), 255).astype(np.uint8)
 
-def _columns(t: pa.Table, *kinds: tuple[str, type]) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(t.column(name).to_pylist()), kind) for name, kind in kinds]
 
+def shared_grams(segs: DataFrame) -> DataFrame:
+    """Per fragment: number the grams that two texts or more have, and send each pack's back."""
 
-def shared_grams(segs: DataFrame, parts: int) -> DataFrame:
-    """Per fragment: number the grams that two texts or more have, and send each text's back, by texts' buckets."""
     def one(t: pa.Table) -> pa.Table:
         frag = t.column("frag")[0].as_py()
-        uid, size, here, low = _columns(t, ("uid", np.int64), ("size", np.int32), ("held", np.int32), ("gram", np.uint8))
-        uid = uid.reshape(-1, 2)
-        gram = np.zeros((len(low) // 6, 8), np.uint8)
-        gram[:, :6] = low.reshape(-1, 6)
+        packs = t.column("gram").to_pylist()
+        length = np.array([len(x) // 6 for x in packs], np.int64)
+        low = np.frombuffer(b"".join(packs), np.uint8).reshape(-1, 6)
+        del packs
+        gram = np.zeros((len(low), 8), np.uint8)
+        gram[:, :6] = low
         gram = gram.view(np.uint64).reshape(-1).byteswap()
-        # a row that is there twice is one text: only its first segment counts
-        _, first = np.unique(uid, axis=0, return_index=True) if len(uid) else (None, np.zeros(0, np.int64))
-        if len(first) < len(uid):
-            first.sort()
-            begin = np.cumsum(here) - here
-            gram = gram[ragged(begin[first].astype(np.int64), here[first].astype(np.int64))]
-            uid, size, here = uid[first], size[first], here[first]
-        order = np.argsort(gram, kind="stable")
-        sorted_ = gram[order]
-        new = np.append(True, sorted_[1:] != sorted_[:-1]) if len(gram) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        df = np.bincount(group)
-        dense = np.cumsum(df > 1) - 1
-        of, often = np.empty(len(gram), np.int64), np.empty(len(gram), np.int64)
-        of[order], often[order] = dense[group], df[group]
-        row = np.repeat(np.arange(len(uid)), here)
-        keep = often > 1
-        row, of, often = row[keep], of[keep], often[keep]
-        count = np.bincount(row, minlength=len(uid))
-        bucket = (mix(uid[:, 0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(bucket[row], kind="stable")
-        row, of, often = row[order], of[order], often[order]
-        who = np.argsort(bucket, kind="stable")
-        who = who[count[who] > 0]
-        cuts, grams = np.searchsorted(bucket[who], np.arange(parts + 1)), np.append(0, np.cumsum(count[who]))
-        out: list[list] = [[], [], [], [], [], [], []]
-        for p in range(parts):
-            a, b = cuts[p], cuts[p + 1]
-            if a < b:
-                x, y = grams[a], grams[b]
-                for column, v in zip(out, (p, frag, uid[who[a:b]].tobytes(), size[who[a:b]].tobytes(), count[who[a:b]].astype(np.int32).tobytes(), of[x:y].astype(np.int32).tobytes(), np.minimum(often[x:y], 2**31 - 1).astype(np.int32).tobytes()), strict=True):
-                    column.append(v)
-        return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.binary()) for x in out[2:])], ["part", "frag", "uid", "size", "held", "gram", "often"])
-
-    return segs.groupBy("frag").applyInArrow(one, "part int, frag int, uid binary, size binary, held binary, gram binary, often binary")
-
-
-SURVIVORS = "doc_id long, key long, size int, set_hash long, prefix array<long>, grams binary"
+        of, often, top, part, seen = np.zeros(len(gram), np.uint32), np.zeros(len(gram), np.uint8), low[:, 0] >> 4, 16, 0
+        for p in range(part):  # parts of the fragment's range in turn, for the sake of memory
+            mine = np.flatnonzero(top == p)
+            order = np.argsort(gram[mine])
+            mine = mine[order]
+            value = gram[mine]
+            group = np.cumsum(np.append(True, value[1:] != value[:-1])) - 1 if len(value) else np.zeros(0, np.int64)
+            count = np.bincount(group)
+            more = count > 1
+            keep = more[group]
+            of[mine[keep]] = seen + (np.cumsum(more) - 1)[group[keep]]
+            often[mine[keep]] = _often(count[group[keep]])
+            seen += int(more.sum())
+        del gram
+        wide = 1 if seen <= 1 << 8 else 2 if seen <= 1 << 16 else 3 if seen <= 1 << 24 else 4
+        of = of.view(np.uint8).reshape(-1, 4)
+        out: list[list] = [[], [], [], [], []]
+        for at, n, steps in zip(np.cumsum(length) - length, length, t.column("steps").to_pylist(), strict=True):
+            keep = often[at : at + n] > 0
+            rows = unstepped(np.frombuffer(steps, np.uint8))[keep]
+            for column, x in zip(out, (stepped(rows, np.zeros(1, np.int64))[0] if len(rows) else rows, of[at : at + n][keep, :wide], often[at : at + n][keep]), strict=False):
+                column.append(x.tobytes())
+        columns = [pa.array(x, pa.binary()) for x in out[:3]]
+        return pa.table([pa.array(np.full(len(length), frag, np.int32)), t.column("pack"), *columns, t.column("uids"), t.column("sizes")], ["frag", "pack", "steps", "gram", "often", "uids", "sizes"])
+
+    return segs.groupBy("frag").applyInArrow(one, "frag int, pack long, steps binary, gram binary, often binary, uids binary, sizes binary")
+
+
+SURVIVORS = "doc_id long, key long, size int, held int, prefix int, node long, grams binary"
 
 
 def survivors(shared: DataFrame, t: float) -> DataFrame:
-    """Per text: the grams it shares, where these are enough for a partner; its prefix among them; a hash of the set."""
+    """Per text that shares enough for a partner: the grams it shares, rarest first, how many of them are its prefix, and its class.
+
+    Texts that share all grams and have the same set are one class; any other is its own."""
 
     def one(x: pa.Table) -> pa.Table:
-        lengths = [len(u) // 16 for u in x.column("uid").to_pylist()]
-        uid, size, here, low, often = _columns(x, ("uid", np.int64), ("size", np.int32), ("held", np.int32), ("gram", np.int32), ("often", np.int32))
-        uid = uid.reshape(-1, 2)
-        frag = np.repeat(np.repeat(x.column("frag").to_numpy().astype(np.int64), lengths), here)
-        gram = frag << 32 | low.astype(np.int64)
-        _, first, text = np.unique(uid, axis=0, return_index=True, return_inverse=True)
-        text = np.repeat(text.reshape(-1), here)
-        order = np.lexsort((gram, often, text))
-        gram, text = gram[order], text[order]
-        held = np.bincount(text, minlength=len(first))
-        begin = np.cumsum(held) - held
-        rows: list[list] = [[], [], [], [], [], []]
-        for i, (at, k) in enumerate(zip(begin.tolist(), held.tolist(), strict=True)):
-            n = int(size[first[i]])
-            need = int(np.ceil(t * n - _EPS))
-            if k < max(need, 1):
-                continue
-            mine = gram[at : at + k]
-            prefix = max(1, n - need + 1 - (n - k))  # grams that no other text has come first in the order
-            for column, v in zip(rows, (int(uid[first[i], 0]), int(uid[first[i], 1]), n, int(mix(mine.astype(np.uint64)).sum().view(np.int64)) if k == n else None, mine[:prefix], np.sort(mine).tobytes()), strict=True):
-                column.append(v)
-        return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64()), pa.array(rows[4], pa.list_(pa.int64())), pa.array(rows[5], pa.binary())], ["doc_id", "key", "size", "set_hash", "prefix", "grams"])
+        uid, size, rows, grams, often = None, None, [], [], []
+        for frag, steps, gram, n, uids, sizes in zip(*(x.column(c).to_pylist() for c in ("frag", "steps", "gram", "often", "uids", "sizes")), strict=True):
+            if uids is not None:
+                uid, size = np.frombuffer(uids, np.int64).reshape(-1, 2), np.frombuffer(sizes, np.int32).astype(np.int64)
+            if n:
+                four = np.zeros((len(n), 4), np.uint8)
+                four[:, : len(gram) // len(n)] = np.frombuffer(gram, np.uint8).reshape(len(n), -1)
+                rows.append(unstepped(np.frombuffer(steps, np.uint8)))
+                grams.append(four.view(np.uint32).reshape(-1).astype(np.int64) | frag << 32)
+                often.append(np.frombuffer(n, np.uint8))
+        if uid is None:
+            raise RuntimeError("a pack's list of texts is missing: its task gave other rows when it ran again")
+        row, gram, n = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (rows, grams, often))
+        order = np.lexsort((gram, n, row))
+        row, gram = row[order], gram[order]
+        if len(row):  # the same pack twice, as of a table that was appended to itself
+            new = np.append(True, (row[1:] != row[:-1]) | (gram[1:] != gram[:-1]))
+            row, gram = row[new], gram[new]
+        held = np.bincount(row, minlength=len(uid))
+        need = np.maximum(np.ceil(t * size - _EPS), 1).astype(np.int64)
+        alive = held >= need
+        first = (np.cumsum(held) - held)[alive]
+        gram = gram[alive[row]]
+        uid, size, held, need = uid[alive], size[alive], held[alive], need[alive]
+        ends = np.cumsum(held)
+        if len(held):
+            total = np.add.reduceat(mix(gram.astype(np.uint64)), ends - held)
+        else:
+            total = np.zeros(0, np.uint64)
+        own = mix(mix(uid[:, 0].astype(np.uint64)) + uid[:, 1].astype(np.uint64))
+        node = np.where(held == size, mix(total + mix(size.astype(np.uint64))), own).view(np.int64)
+        blobs = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer((np.append(0, ends) * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(gram))])
+        # grams that no other text has come first in the order, so the shared part of the prefix is as much shorter
+        columns = [uid[:, 0], uid[:, 1], size.astype(np.int32), held.astype(np.int32), (held - need + 1).astype(np.int32), node]
+        return pa.table([*map(pa.array, map(np.ascontiguousarray, columns)), blobs], ["doc_id", "key", "size", "held", "prefix", "node", "grams"])
+
+    return shared.groupBy("pack").applyInArrow(one, SURVIVORS)
+
+
+def _prefix_links(leads: DataFrame, t: float) -> DataFrame:
+    """(a, b): classes that share a gram of their prefix, by steps that each keep the size ratio.
+
+    Sorted by size, two classes of a possible pair are joined by such steps. Within a task, classes of the same size that share
+    a gram are linked to the first of them, which alone stands for them outside: so a gram that very many have is sent once a
+    task and size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            node, size, gram = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((node, size, gram))
+            node, size, gram = node[order], size[order], gram[order]
+            new = np.append(True, (gram[1:] != gram[:-1]) | (size[1:] != size[:-1]))
+            lead = node[np.flatnonzero(new)][np.cumsum(new) - 1]
+            linked = np.unique(np.stack([lead, node], 1)[lead != node], axis=0)
+            none = pa.nulls(len(linked), pa.int64())
+            first = [pa.array(np.ascontiguousarray(linked[:, 0])), pa.array(np.ascontiguousarray(linked[:, 1])), none, pa.nulls(len(linked), pa.int32())]
+            k = int(new.sum())
+            rest = [pa.array(node[new]), pa.nulls(k, pa.int64()), pa.array(gram[new]), pa.array(size[new].astype(np.int32))]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(first, rest, strict=True)], ["a", "b", "gram", "size"])
 
-    return shared.groupBy("part").applyInArrow(one, SURVIVORS)
+        for batch in batches:
+            nodes, sizes, prefix = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
+            if not len(nodes):
+                continue
+            held.append((np.repeat(nodes, prefix), np.repeat(sizes, prefix), np.concatenate([np.frombuffer(g.as_buffer(), np.int64)[:k] for g, k in zip(batch.column(3), prefix, strict=True)])))
+            total += int(prefix.sum())
+            if total > HELD_GRAMS:
+                yield flush()
+                held, total = [], 0
+        if held:
+            yield flush()
 
+    got = leads.select("node", "size", "prefix", "grams").mapInArrow(run, "a long, b long, gram long, size int")
+    w = Window.partitionBy("gram").orderBy("size", "a")
+    # a row without a gram is a link already; it is dealt by its own ends
+    key = F.coalesce("gram", F.xxhash64("a", "b"))
+    before = F.when(F.col("b").isNotNull(), F.col("b")).when(F.lag("b").over(w).isNull() & (F.lag("size").over(w) >= F.col("size") * t - _EPS), F.lag("a").over(w))
+    return got.withColumn("gram", key).select("a", before.alias("b")).filter("b is not null").distinct()
 
-def overlaps(rows: list[np.ndarray], sizes: np.ndarray, t: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i < j) of the sorted gram arrays with Jaccard t or more, and their overlaps.
 
-    The order is cut into fragments; each one's counts are added up. split: only pairs of a row before it and one from it on."""
+def counts(rows: list[np.ndarray]) -> np.ndarray:
+    """How many grams each two of the arrays share: grams that two or more have are columns, products of slices of them are added."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     gram = np.concatenate(rows)
     order = np.argsort(gram, kind="stable")
     gram, row = gram[order], row[order]
-    new = np.append(True, gram[1:] != gram[:-1])
-    column = np.cumsum(new) - 1
+    column = np.cumsum(np.append(True, gram[1:] != gram[:-1])) - 1 if len(gram) else np.zeros(0, np.int64)
     often = np.bincount(column)
     keep = often[column] > 1
     row, column = row[keep], (np.cumsum(often > 1) - 1)[column[keep]]
-    m = len(rows)
+    m, n = len(rows), int(column[-1]) + 1 if len(column) else 0
     total = np.zeros((m, m), np.float32)
     width = max(1, min(4_000_000 // m, 1 << 16))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    for at in range(0, n, width):
         a, b = np.searchsorted(column, (at, at + width))
-        x = np.zeros((m, min(width, int(column[-1]) + 1 - at)), np.float32)
+        x = np.zeros((m, min(width, n - at)), np.float32)
         x[row[a:b], column[a:b] - at] = 1
         total += x @ x.T
-    least = total / np.maximum(sizes[:, None] + sizes[None, :] - total, 1) >= t - _EPS
-    if split is not None:
-        least[:split, :split] = False
-        least[split:, split:] = False
-    i, j = np.nonzero(np.triu(least, 1))
-    return i, j, total[i, j].astype(np.int64)
+    return total
 
 
 def class_pairs(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members (node, doc_id, key, size) lists the texts of each class of equal gram sets under its least text;
-    pairs (node_a, node_b, overlap, size_a, size_b) has each pair of classes with Jaccard t or more once."""
+    """(members, pairs): members (doc_id, key, node) has each text that may have a partner and its class; pairs (node_a, node_b,
+    overlap, size_a, size_b) each pair of classes with Jaccard t or more once."""
     fragments = fragments_for(docs)
-    parts = max(16, fragments)
-    alive = cut(survivors(shared_grams(segments(docs, fragments, n), parts), t))
-    # texts with all grams shared and the same set are one class; any other text is its own
-    own = F.coalesce("set_hash", F.xxhash64(F.lit("own"), "doc_id", "key"))
-    least = Window.partitionBy("size", "own_hash")
-    members = cut(alive.select("doc_id", "key", "size", own.alias("own_hash")).withColumn("node", F.min(F.struct("doc_id", "key")).over(least)).select(F.xxhash64("node.doc_id", "node.key").alias("node"), (F.col("node") == F.struct("doc_id", "key")).alias("lead"), "doc_id", "key", "size"))
-    leads = alive.join(members.filter("lead").select("node", "doc_id", "key"), ["doc_id", "key"])
-    postings = leads.select("node", "size", F.explode("prefix").alias("gram"))
-    w = Window.partitionBy("gram").orderBy("size", "node")
-    # sorted by size, two texts of a possible pair are joined by steps that each keep the size ratio
-    steps = postings.select("node", "size", "gram", F.lag("node").over(w).alias("before"), F.lag("size").over(w).alias("small"))
-    links = cut(steps.filter(F.col("small") >= F.col("size") * t - _EPS).select(F.col("before").alias("a"), F.col("node").alias("b")).distinct())
-    part = components(links)
-    at = F.row_number().over(Window.partitionBy("part").orderBy("size", "node")) - 1
-    placed = leads.select("node", "size", "grams").join(part, "node").select("node", "size", "grams", "part", F.floor(at / BLOCK).cast("int").alias("block"), F.count(F.lit(1)).over(Window.partitionBy("part")).alias("of"))
-    blocks = F.ceil(F.col("of") / BLOCK).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    sent = placed.withColumn("other", other).select("node", "size", "grams", F.xxhash64("part", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "block", (F.col("block") <= F.col("other")).alias("low"), (F.col("block") == F.col("other")).alias("same"))
+    alive = cut(survivors(shared_grams(segments(docs, fragments, n)), t))
+    members = cut(alive.select("doc_id", "key", "node").distinct())
+    # one of each class goes on; copies are merged before the shuffle
+    leads = cut(alive.groupBy("node").agg(F.min_by(F.struct("size", "held", "prefix", "grams"), F.struct("doc_id", "key")).alias("x")).select("node", "x.*"))
+    part = components(_prefix_links(leads, t))
+    placed = cut(leads.select("node", "size", "held").join(part, "node"))
+    bucket = F.floor(F.log("size") / float(-np.log(min(t, 0.99))) + _EPS).cast("int")
+    spread = placed.select("part", bucket.alias("bucket"), "held").groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("held").alias("grams"))
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    large = cut(
+        spread.groupBy("part").agg(F.sum("k").alias("of"), F.sum("grams").alias("grams"), F.map_from_entries(F.collect_list(F.struct("bucket", blocks))).alias("layout"), F.sum(blocks).alias("blocks"))
+        .filter((F.col("of") > BLOCK) | (F.col("grams") > PIECE)).select("part", "layout", F.ceil(F.col("grams") * 2 / F.col("blocks") / PIECE).cast("int").alias("pieces"))
+    )
+    rows = large.count()
+    plain = (placed if not rows else placed.join(F.broadcast(large) if rows <= BROADCAST_ROWS else large, "part", "left_anti")).select("node", "part", F.array(F.struct(F.xxhash64("part").alias("task"), F.lit(1).alias("side"))).alias("tasks"), F.lit(1).alias("pieces"))
+    if rows:
+        here = join_small(placed, large, ["part"], ["node"], rows).withColumn("bucket", bucket)
+        of = lambda b: F.coalesce(F.try_element_at("layout", b), F.lit(0))
+        mine = F.struct(F.col("bucket").alias("bucket"), F.pmod(F.xxhash64("node"), of(F.col("bucket"))).cast("int").alias("block"))
+        near = lambda d: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(of(F.col("bucket") + d) - 1, F.lit(0))), lambda i: i < of(F.col("bucket") + d)), lambda i: F.struct((F.col("bucket") + d).alias("bucket"), i.alias("block")))
+        # partners are in the same bucket of sizes or in the next one; a pair of blocks is a task: side 1 both are one, 0 the lower, 2 the upper
+        task = lambda o: F.struct(F.xxhash64("part", F.least("mine", o), F.greatest("mine", o)).alias("task"), F.when(o == F.col("mine"), 1).when(o > F.col("mine"), 0).otherwise(2).alias("side"))
+        dealt = here.withColumn("mine", mine).select("node", "part", F.transform(F.concat(*(near(d) for d in (-1, 0, 1))), task).alias("tasks"), "pieces")
+        plain = plain.unionByName(dealt)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            for node, size, grams, tasks, pieces in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                g = np.sort(np.frombuffer(grams, np.int64))
+                # pieces are ranges of fragments, so of the global order
+                ends = np.searchsorted(g >> 32, [fragments * p // pieces for p in range(1, pieces)] + [1 << 31]).tolist()
+                for p, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+                    if a < b:
+                        blob = g[a:b].tobytes()
+                        for x in tasks:
+                            for column, v in zip(out, (x["task"], p, pieces, node, size << 2 | x["side"], blob), strict=True):
+                                column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["task", "piece", "pieces", "node", "size", "grams"])
 
     def one(x: pa.Table) -> pa.Table:
-        task, node, size, low, same = (x.column(c).to_numpy() for c in ("task", "node", "size", "low", "same"))
-        grams = x.column("grams")
-        order = np.lexsort((~low, task))
-        edges = np.append(np.flatnonzero(np.append(True, task[order][1:] != task[order][:-1])), len(order))
+        task, piece, pieces, node, size = (x.column(c).to_numpy() for c in ("task", "piece", "pieces", "node", "size"))
+        side, size, grams = size & 3, (size >> 2).astype(np.float64), x.column("grams")
+        order = np.lexsort((side, piece, task))
+        edges = np.append(np.flatnonzero(np.append(True, (task[order][1:] != task[order][:-1]) | (piece[order][1:] != piece[order][:-1]))), len(order))
         out: list[list[np.ndarray]] = [[], [], [], [], []]
         for a, b in zip(edges, edges[1:], strict=False):
             who = order[a:b]
-            rows = [np.frombuffer(grams[int(i)].as_py(), np.int64) for i in who]
-            i, j, both = overlaps(rows, size[who].astype(np.float64), t, None if same[who].all() else int(low[who].sum()))
-            u, v = who[i], who[j]
-            flip = node[u] > node[v]
-            u, v = np.where(flip, v, u), np.where(flip, u, v)
+            total = counts([np.frombuffer(grams[int(i)].as_buffer(), np.int64) for i in who])
+            s, lower = size[who], int((side[who] == 0).sum())
+            may = (total > 0) & (np.minimum(s[:, None], s) >= t * np.maximum(s[:, None], s) - _EPS)
+            if pieces[who[0]] == 1:
+                may &= total >= t * (s[:, None] + s - total) - _EPS
+            if side[who[0]] != 1:  # both ends of a pair of this task's are in different blocks
+                may[:lower, :lower] = may[lower:, lower:] = False
+            i, j = np.nonzero(np.triu(may, 1))
+            both, u, v = total[i, j].astype(np.int64), who[i], who[j]
+            u, v = np.where(node[u] > node[v], v, u), np.where(node[u] > node[v], u, v)
             for column, y in zip(out, (node[u], node[v], both, size[u].astype(np.int64), size[v].astype(np.int64)), strict=True):
                 column.append(y)
         return pa.table([np.concatenate(c) for c in out], ["node_a", "node_b", "overlap", "size_a", "size_b"])
 
-    pairs = sent.withColumn("bin", F.pmod("task", F.lit(parts * 4))).groupBy("bin").applyInArrow(one, "node_a long, node_b long, overlap long, size_a long, size_b long")
-    return members, pairs
+    bins = max(16, fragments * 4)
+    sent = leads.select("node", "size", "grams").join(plain, "node").select("node", "size", "grams", "tasks", "pieces").mapInArrow(deal, "task long, piece int, pieces int, node long, size long, grams binary")
+    partial = sent.withColumn("bin", F.pmod(F.xxhash64("task", "piece"), F.lit(bins))).groupBy("bin").applyInArrow(one, "node_a long, node_b long, overlap long, size_a long, size_b long")
+    summed = partial.groupBy("node_a", "node_b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
+    return members, summed.filter(F.col("overlap") >= (F.col("size_a") + F.col("size_b") - F.col("overlap")) * t - _EPS).select("node_a", "node_b", "overlap", "size_a", "size_b")
 
 
-def jaccard_join(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
-    """(doc_a, doc_b, overlap, n_a, n_b, jaccard) of all pairs doc_a < doc_b of documents with Jaccard t or more."""
+def near_groups(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
+    """(doc_id, key, class_id, keep, copies, links, best) of every document that has a partner.
+
+    class_id is the least doc_id of its connected group, whose first document (by doc_id, then key) is kept; copies counts the
+    other documents with the same grams, links the classes of other grams with Jaccard t or more, best is the highest similarity."""
     members, pairs = class_pairs(docs, n, t)
-    of = members.select("node", "doc_id", "key", "size")
-    a = of.select(F.col("node").alias("node_a"), F.col("doc_id").alias("i"))
-    b = of.select(F.col("node").alias("node_b"), F.col("doc_id").alias("j"))
-    near = pairs.join(a, "node_a").join(b, "node_b").select("i", "j", "overlap", "size_a", "size_b")
-    equal = of.alias("x").join(of.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("i"), F.col("y.doc_id").alias("j"), *[F.col("x.size").cast("long").alias(c) for c in ("overlap", "size_a", "size_b")])
-    both = near.unionByName(equal).filter("i != j")
-    flip = F.col("i") > F.col("j")
-    return both.select(
-        F.least("i", "j").alias("doc_a"), F.greatest("i", "j").alias("doc_b"), "overlap", F.when(flip, F.col("size_b")).otherwise(F.col("size_a")).alias("n_a"), F.when(flip, F.col("size_a")).otherwise(F.col("size_b")).alias("n_b"), (F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))).alias("jaccard")
-    )
+    pairs = cut(pairs)
+    ends = F.explode(F.array("node_a", "node_b")).alias("node")
+    linked = pairs.select(ends, (F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))).alias("best")).groupBy("node").agg(F.count(F.lit(1)).alias("links"), F.max("best").alias("best"))
+    part = components(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    classes_ = members.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "key")).alias("first")).join(linked, "node", "left").join(part, "node", "left").withColumn("part", F.coalesce("part", "node")).filter("k > 1 or links > 0")
+    classes_ = cut(classes_)
+    firsts = classes_.groupBy("part").agg(F.min("first").alias("least"))
+    verdict = cut(join_small(classes_, cut(firsts), ["part"], ["node"]).select("node", "k", F.coalesce("links", F.lit(0)).alias("links"), F.when(F.col("k") > 1, 1.0).otherwise(F.col("best")).alias("best"), "least"))
+    of = join_small(members, verdict, ["node"], ["doc_id", "key"])
+    return of.select("doc_id", "key", F.col("least.doc_id").alias("class_id"), (F.col("least") == F.struct("doc_id", "key")).alias("keep"), (F.col("k") - 1).alias("copies"), "links", "best")
 
 
-def near_groups(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
-    """(doc_id, key, keep): every text that has a partner, by connected groups of pairs; the least doc_id (then key) of each is kept."""
-    members, pairs = class_pairs(docs, n, t)
-    links = cut(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-    grouped = members.join(components(links), "node", "left").withColumn("group", F.coalesce("part", "node"))
-    w = Window.partitionBy("group")
-    first = F.min(F.struct("doc_id", "key")).over(w)
-    return grouped.select("doc_id", "key", (first == F.struct("doc_id", "key")).alias("keep"), F.count(F.lit(1)).over(w).alias("of")).filter("of > 1").select("doc_id", "key", "keep")
+def jaccard_join(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
+    """(doc_id, class_id, links, copies, best): a row for each document that has a partner, see near_groups."""
+    return near_groups(docs, n, t).select("doc_id", "class_id", "links", "copies", "best")
 
 
 def near_filter(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:

@@ -67,15 +67,25 @@ def grams(t, n=3):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
 
 
-def pairs_brute(rows, t=0.5):
-    texts = sorted({(i, x) for i, x in rows if i is not None and x is not None})
-    out = set()
-    for a, (i, x) in enumerate(texts):
-        for j, y in texts[a + 1 :]:
-            p, q = grams(x), grams(y)
-            if i != j and p and q and len(p & q) / len(p | q) >= t - 1e-9:
-                out.add((min(i, j), max(i, j), len(p & q)))
-    return out
+def groups_brute(rows, t=0.5):
+    """(doc_id, class_id, links, copies, best) by comparing every two texts."""
+    texts = sorted({(i, x) for i, x in rows if i is not None and grams(x)})
+    near = {(a, b): j for a, (_, x) in enumerate(texts) for b, (_, y) in enumerate(texts) if a != b and (j := len(grams(x) & grams(y)) / len(grams(x) | grams(y))) >= t - 1e-9}
+    group = [*range(len(texts))]
+    for _ in texts:
+        for a, b in near:
+            group[a] = group[b] = min(group[a], group[b])
+    out = []
+    for a, (i, _) in enumerate(texts):
+        mine = {b: j for (x, b), j in near.items() if x == a}
+        if mine:
+            others = {frozenset(grams(texts[b][1])) for b, j in mine.items() if j < 1}
+            out.append((i, texts[group[a]][0], len(others), sum(j == 1 for j in mine.values()), round(max(mine.values()), 9)))
+    return sorted(out)
+
+
+def report(df):
+    return sorted((r.doc_id, r.class_id, r.links, r.copies, round(r.best, 9)) for r in df.collect())
 
 
 def corpus(n, seed):
@@ -92,43 +102,59 @@ def corpus(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_jaccard_join(docs, monkeypatch, block):
-    monkeypatch.setattr(near_copies, "BLOCK", block)
-    rows = [*corpus(160, block), (500, "a b"), (501, "A  B"), (502, ""), (503, None), (None, "a b"), (500, "a b"), (0, "other text of the same id")]
-    got = near_copies.jaccard_join(docs(rows)).collect()
-    assert {(r.doc_a, r.doc_b, r.overlap) for r in got} == pairs_brute(rows)
-    assert len({(r.doc_a, r.doc_b) for r in got}) == len(got)
+SIZES = [{}, {"BLOCK": 3, "PIECE": 100, "HELD_GRAMS": 300}, {"BLOCK": 5, "PIECE": 10**9}, {"PIECE": 1}]
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_jaccard_join(docs, monkeypatch, sizes):
+    for k, v in sizes.items():
+        monkeypatch.setattr(near_copies, k, v)
+    rows = [*corpus(160, len(sizes)), (500, "a b"), (501, "A  B"), (502, ""), (503, None), (None, "a b"), (500, "a b"), (0, "other text of the same id")]
+    assert report(near_copies.jaccard_join(docs(rows))) == groups_brute(rows)
+
+
+def test_jaccard_chain(docs, monkeypatch):
+    """One connected part far beyond a block: each text shares half with the next one, the ends share nothing."""
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    monkeypatch.setattr(near_copies, "PIECE", 40)
+    rows = [(i, " ".join(f"w{k}" for k in range(5 * i, 5 * i + 22))) for i in range(90)] + [(1000 + i, "boiler plate text " * 3 + f"own{i} word{i}") for i in range(60)]
+    got = report(near_copies.jaccard_join(docs(rows)))
+    assert got == groups_brute(rows) and {c for i, c, *_ in got if i < 1000} == {0}
+
+
+def test_jaccard_repeats(docs, spark):
+    """A table that holds each row twice gives the rows of the table itself."""
+    rows = corpus(80, 4)
+    assert report(near_copies.jaccard_join(docs(rows + rows))) == groups_brute(rows)
+    twice = docs(rows).unionByName(docs(rows))
+    assert report(near_copies.jaccard_join(twice)) == groups_brute(rows)
+
+
+def test_jaccard_bytes(docs):
+    """A document takes about as many bytes in many fragments as in few."""
+    rng = random.Random(3)
+    texts = docs([(i, " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(9999)) for _ in range(300))) for i in range(200)])
+    size = []
+    for fragments in (16, 1024):
+        s = near_copies.segments(texts, fragments, 3).toPandas()
+        size.append(sum(len(x) for c in ("steps", "gram", "uids", "sizes") for x in s[c] if x is not None) / 200)
+    assert size[1] < 1.05 * size[0] and size[1] < 7.2 * 300
 
 
 def test_near_filter(docs, odd):
     rows = [*corpus(120, 9), (500, "a b"), (501, "A  B"), (502, ""), (503, None), (None, "a b"), (None, "a b"), (500, "a b")]
     left = near_copies.near_filter(docs(rows)).collect()
     ids = sorted((r.doc_id for r in left if r.doc_id is not None))
-    link = defaultdict(set)
-    for a, b, _ in pairs_brute(rows):
-        link[a].add(b)
-        link[b].add(a)
-    want, seen = [], set()
-    for i in sorted({r[0] for r in rows if r[0] is not None}):
-        if i not in seen:
-            want.append(i)
-            todo = [i]
-            while todo:
-                x = todo.pop()
-                if x not in seen:
-                    seen.add(x)
-                    todo += link[x]
-    assert ids == want and sum(r.doc_id is None for r in left) == 2
+    of = {i: c for i, c, *_ in groups_brute(rows)}
+    assert ids == sorted(i for i in {r[0] for r in rows if r[0] is not None} if of.get(i, i) == i) and sum(r.doc_id is None for r in left) == 2
     assert near_copies.near_filter(odd.limit(0)).count() == near_copies.jaccard_join(odd.limit(0)).count() == 0
     assert near_copies.near_filter(odd).columns == odd.columns
 
 
-def test_overlaps_blocks():
-    rows = [np.array([1, 2, 3]), np.array([2, 3, 4]), np.array([9])]
-    i, j, k = near_copies.overlaps(rows, np.array([3.0, 3.0, 1.0]), 0.5)
-    assert list(zip(i, j, k, strict=True)) == [(0, 1, 2)]
-    assert len(near_copies.overlaps(rows, np.array([3.0, 3.0, 1.0]), 0.5, 2)[0]) == 0
+def test_steps():
+    rows, begins = np.array([0, 0, 3, 700, 5, 5, 260]), np.array([0, 4])
+    out, at = near_copies.stepped(rows, begins)
+    assert near_copies.unstepped(out[: at[1]]).tolist() == [0, 0, 3, 700] and near_copies.unstepped(out[at[1] :]).tolist() == [5, 5, 260]
 
 
 def test_components(spark):
