@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Encoder, tokenised, vocabulary
 from .quality import bucket
-from .spark_io import cut, in_arrow, put_file, ship, vocabulary_path
+from .spark_io import cut, in_arrow, put_file, ship, vocabulary_file, vocabulary_path
 from .textvec import code_points, ragged, span_hashes
 
 #: Words in the lexicon, and distinct words that a counting task holds before it passes them on.
@@ -206,11 +206,11 @@ def build_lexicon(docs: DataFrame, path: str, words: int = WORDS) -> str:
 
 def encode_documents(docs: DataFrame, path: str | None = None, words: int = WORDS) -> DataFrame:
     """(doc_id, n_tokens, token_ids, round_trip): the ids, and whether decoding them gave the text's bytes again."""
-    path = path or vocabulary_path()
-    name = build_lexicon(docs, path, words)
+    name, file = build_lexicon(docs, path or vocabulary_path(), words), vocabulary_file(docs.sparkSession, path)
 
     def make():
-        encoder, decoder = Encoder(path, Lexicon(SparkFiles.get(name))), Decoder(path)
+        own = SparkFiles.get(file)
+        encoder, decoder = Encoder(own, Lexicon(SparkFiles.get(name))), Decoder(own)
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = batch.column(1).to_pylist()
@@ -228,10 +228,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, words: int = WORD
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) from (doc_id, token_ids); a null list gives null."""
-    path = path or vocabulary_path()
+    file = vocabulary_file(encoded.sparkSession, path)
 
     def make():
-        decoder = Decoder(path)
+        decoder = Decoder(SparkFiles.get(file))
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = [None if x is None else decoder.raw(np.array(x, np.int64))[0].decode("utf-8", "replace") for x in batch.column(1).to_pylist()]

@@ -39,7 +39,7 @@ from .textvec import SPACE, classes, code_points, mix, ragged, span_hashes, word
 #: Production parameters: words in a gram and the least Jaccard similarity of a pair.
 N, T = 3, 0.5
 #: Physical sizes, without influence on results: input bytes for each fragment, grams held by a task before it sends them, classes in a block, grams in a piece, chars worked on at once.
-FRAGMENT_BYTES, HELD_GRAMS, BLOCK, PIECE, SLICE = 32 << 20, 2_000_000, 1024, 2_000_000, 600_000
+FRAGMENT_BYTES, HELD_GRAMS, BLOCK, PIECE, SLICE = 16 << 20, 2_000_000, 1024, 2_000_000, 600_000
 _EPS = 1e-9
 
 

@@ -85,3 +85,13 @@ def slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 def vocabulary_path() -> str:
     return os.environ.get("SIFTWELL_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+def vocabulary_file(spark: SparkSession, path: str | None = None) -> str:
+    """Hand a vocabulary file to every executor, once a session; returns its name for SparkFiles."""
+    path, sc = path or vocabulary_path(), spark.sparkContext
+    known = sc.__dict__.setdefault("_siftwell_vocabularies", {})
+    if path not in known:
+        with open(path, "rb") as f:
+            known[path] = put_file(spark, f.read(), "vocabulary")
+    return known[path]

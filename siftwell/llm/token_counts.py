@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from .bpe import MEMO, tokenised, vocabulary
-from .spark_io import in_arrow, vocabulary_path
+from .spark_io import in_arrow, vocabulary_file
 from .textvec import code_points, pretokens, span_hashes
 
 SCHEMA = "doc_id long, n_pretokens long, n_whole long, n_tokens long"
@@ -86,10 +87,10 @@ class Counter:
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    path = path or vocabulary_path()
+    file = vocabulary_file(docs.sparkSession, path)
 
     def make():
-        counter = Counter(path)
+        counter = Counter(SparkFiles.get(file))
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = batch.column(1).to_pylist()

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from .bpe import Encoder, vocabulary
-from .spark_io import in_arrow, vocabulary_path
+from .spark_io import in_arrow, vocabulary_file
 
 #: Ids in a block: a multiple of 64.
 BLOCK = 1024
@@ -70,11 +71,12 @@ def read_range(packed: bytes, block_offsets: list[int], width: int, n_tokens: in
 
 
 def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    path = path or vocabulary_path()
+    file = vocabulary_file(docs.sparkSession, path)
 
     def make():
-        encoder = Encoder(path)
-        width = bit_width(vocabulary(path).size)
+        own = SparkFiles.get(file)
+        encoder = Encoder(own)
+        width = bit_width(vocabulary(own).size)
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for a, b, ids, per in encoder.rows(batch.column(1).to_pylist()):

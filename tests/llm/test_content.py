@@ -5,7 +5,9 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 import shutil
+import time
 import uuid
 
 import numpy as np
@@ -83,6 +85,28 @@ def test_secret_lists():
         assert secrets.redacted(plain) == plain
 
 
+@pytest.mark.parametrize("text", ["a_" * 500_000 + " token", "a_" * 500_000 + "token", "token" * 200_000, "token " + " " * 1_000_000, "," * 500_000 + "token=" + ",a_" * 300_000, 'token="' + "x" * 1_000_000, "basic " * 200_000, "xToken=" * 150_000, "token=abcd," * 100_000, "token='" * 150_000, "token=<" * 150_000])
+def test_secrets_take_linear_time(text):
+    began = time.process_time()
+    secrets.findings(text)
+    assert time.process_time() - began < 20
+
+
+def test_secrets_prefilter_is_wider():
+    """Whatever the context pattern finds, the filter in front lets through."""
+    key = "fJ9x2Lq8Zr4Wb7Tn"
+    for name in ("to\u212aen", "pa\u017f\u017fword", "TOKEN", "Api-Key", "passPhrase", "myPwd", "PROXY-Authorization", "credentials", "secretkey"):
+        text = f"{name} = {key}"
+        assert not secrets.findings(text) or re.search(secrets.NEAR, text, re.ASCII)
+        assert bool(secrets.findings(text)) == name.isascii()
+
+
+def test_secret_words_are_ranked():
+    known = secrets.dictionary(secrets.vocabulary_path())
+    assert len(known) > 15_000 and secrets.guess_cost("correcthorsebatterystaple")[0] < secrets.guess_cost("corhectrorsetabberyptasle")[0]
+    assert secrets.guess_cost("thinkingaboutwaterfalls")[0] < 16 < secrets.guess_cost("fJ9x2Lq8Zr4Wb7Tn")[0]
+
+
 def words_of(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(n))
 
