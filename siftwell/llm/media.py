@@ -6,9 +6,11 @@ of which only the lengths matter, all whole codes in these bits at once. A lumin
 the DC values alone are the picture at an eighth of its size: the thumbnail. thumb_hash is its 64-bit difference hash.
 
 Defined cases: null or empty media have status 'empty', other bytes without an SOI 'not_jpeg'; a progressive, lossless,
-arithmetic or 12-bit image is 'unsupported' (with its dimensions); a broken header or code is 'corrupt'; a scan that ends
-early is 'truncated'. Only 'ok' rows have a thumbnail. Images of any size are decoded whole; repeated rows are decoded
-each; a null id stays null; other columns are ignored, whatever their names; an empty table gives an empty result."""
+arithmetic or 12-bit image is 'unsupported' (with its dimensions); a broken header, table or code is 'corrupt'; a scan that
+ends early, or is too short for the blocks that the header claims, is 'truncated'. No bytes raise, and memory follows the
+bytes that are there, not what a header claims. Only 'ok' rows have a thumbnail. Images of any size are decoded whole;
+repeated rows are decoded each; a null id stays null; other columns are ignored, whatever their names; an empty table gives
+an empty result."""
 
 from __future__ import annotations
 
@@ -20,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .spark_io import in_arrow, slices
+from .spark_io import in_arrow
 
 SCHEMA = "page_id long, status string, width int, height int, components int, thumb_width int, thumb_height int, thumbnail binary, thumb_hash string"
-#: Bytes of images that are decoded in step.
-SLICE = 4_000_000
+#: Bytes of images, and Huffman tables, that are decoded in step.
+SLICE, TABLES = 4_000_000, 64
 ZIGZAG = np.array(
     [0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28]
     + [35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63]
@@ -55,6 +57,7 @@ class Header:
     thumb: tuple[int, int]
     quant: int
     scan: Scan | None
+    status: str = "ok"
 
 
 def _segments(data: bytes, at: int) -> tuple[list[bytes], int]:
@@ -79,6 +82,20 @@ def _segments(data: bytes, at: int) -> tuple[list[bytes], int]:
             return out, at
 
 
+def _huffman(body: bytes) -> dict[int, bytes]:
+    """The tables of a DHT segment; raises Broken where counts and values disagree or the codes don't fit their lengths."""
+    out, i = {}, 0
+    while i < len(body):
+        counts = body[i + 1 : i + 17]
+        size = sum(counts)
+        table = body[i + 1 : i + 17 + size]
+        if len(table) < 16 + size or size > 256 or body[i] & 0xEC or sum(n << (15 - k) for k, n in enumerate(counts)) > 1 << 16:
+            raise Broken("corrupt")
+        out[body[i]] = table
+        i += 17 + size
+    return out
+
+
 def parse(data: bytes) -> Header:
     """Dimensions, and the scan that holds luminance; raises Broken."""
     if data[:2] != b"\xff\xd8":
@@ -108,14 +125,13 @@ def parse(data: bytes) -> Header:
                 i = 0
                 while i < len(body):
                     wide = body[i] >> 4
-                    quants[body[i] & 15] = int.from_bytes(body[i + 1 : i + 2 + wide], "big")
+                    first = int.from_bytes(body[i + 1 : i + 2 + wide], "big")
+                    if wide > 1 or body[i] & 15 > 3 or not first or i + 1 + 64 * (1 + wide) > len(body):
+                        raise Broken("corrupt")
+                    quants[body[i] & 15] = first
                     i += 1 + 64 * (1 + wide)
             elif kind == 0xC4:
-                i = 0
-                while i < len(body):
-                    size = sum(body[i + 1 : i + 17])
-                    huff[body[i]] = body[i + 1 : i + 17 + size]
-                    i += 17 + size
+                huff |= _huffman(body)
             elif kind == 0xDD:
                 interval = int.from_bytes(body[:2], "big")
             elif 0xC0 <= kind <= 0xCF and kind != 0xC8 and kind != 0xCC:
@@ -124,12 +140,16 @@ def parse(data: bytes) -> Header:
                 if not width or not height or not frame or not all(1 <= f[1] <= 4 and 1 <= f[2] <= 4 for f in frame):
                     raise Broken("corrupt")
                 if kind > 0xC1 or body[0] != 8:
-                    head = Header(width, height, len(frame), (0, 0), 0, None)
-                    return head
+                    return Header(width, height, len(frame), (0, 0), 0, None, "unsupported")
+                if len(frame) > 4 or len({f[0] for f in frame}) < len(frame):
+                    raise Broken("corrupt")
             elif kind == 0xDA:
                 if not frame:
                     raise Broken("corrupt")
                 scanned = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
+                if len(scanned) > 4 or len({c for c, _ in scanned}) < len(scanned):
+                    raise Broken("corrupt")
+                begin = at
                 segments, at = _segments(data, at)
                 if frame[0][0] not in [c for c, _ in scanned]:
                     continue
@@ -149,14 +169,17 @@ def parse(data: bytes) -> Header:
                     dc, ac = table(t >> 4), table(16 | t & 15)
                     times = by_id[c][1] * by_id[c][2] if len(scanned) > 1 else 1
                     order += [(int(c == frame[0][0]), dc, ac)] * times
+                across, down = -(-width // (8 * most_h)), -(-height // (8 * most_v))
+                mcus = across * down if len(scanned) > 1 else tw * th
+                # a block takes two bits at least, so more blocks than that can't be there
+                if mcus * len(order) * 2 > (at - begin) * 8 or -(-mcus // (interval or mcus)) > len(segments):
+                    return Header(width, height, len(frame), (tw, th), quants[q], None, "truncated")
                 if len(scanned) > 1:
-                    across, down = -(-width // (8 * most_h)), -(-height // (8 * most_v))
                     y, x = np.divmod(np.arange(across * down * h * v), h * v)
                     row, col = y // across * v + x // h, y % across * h + x % h
                     place = np.where((row < th) & (col < tw), row * tw + col, -1)
-                    mcus = across * down
                 else:
-                    place, mcus = np.arange(tw * th), tw * th
+                    place = np.arange(tw * th)
                 head = Header(width, height, len(frame), (tw, th), quants[q], Scan(order, mcus, interval or mcus, segments, place, tables))
                 break
     except (IndexError, KeyError, ValueError) as e:
@@ -166,7 +189,7 @@ def parse(data: bytes) -> Header:
     return head
 
 
-@functools.lru_cache(maxsize=256)
+@functools.lru_cache(maxsize=2 * TABLES)
 def lookup(table: bytes, dc: bool) -> tuple[np.ndarray, ...]:
     """By the next 16 bits. DC: (bits of the code, size of the value), 0 bits where no code fits.
 
@@ -185,7 +208,7 @@ def lookup(table: bytes, dc: bool) -> tuple[np.ndarray, ...]:
             at += 1
         code <<= 1
     if dc:
-        return bits, symbol
+        return bits.astype(np.uint8), symbol.astype(np.uint8)
     run, size = symbol >> 4, symbol & 15
     one = np.where(bits > 0, bits + size, 0)
     step = np.where(symbol == 0, 64, np.where(symbol == 0xF0, 16, run + 1))
@@ -202,7 +225,7 @@ def lookup(table: bytes, dc: bool) -> tuple[np.ndarray, ...]:
         steps[live] += np.where(end, 0, step[rest])
         over[live] = end
         live = live[~end]
-    return one, step, many, steps, over
+    return tuple(x.astype(np.uint8) for x in (one, step, many, steps)) + (over,)
 
 
 def decode(heads: list[Header]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -275,7 +298,7 @@ def _lanes(image, pos, end, units, data, orders, lum_at, places, dcs, acs, out,
         at = live[first]
         if len(at):
             e = now[at, 1] * 65536 + code[first]
-            n, size = dc_bits[e], dc_size[e]
+            n, size = dc_bits[e].astype(np.int64), dc_size[e].astype(np.int64)
             bad = (n == 0) | (size > 15)
             size = np.where(bad, 0, size)
             value = np.where(size > 0, ((w[first] << n.astype(np.uint64)) >> np.uint64(1) >> (63 - size).astype(np.uint64)).astype(np.int64), 0)
@@ -326,31 +349,40 @@ def difference_hash(thumbs: list[np.ndarray], shapes: list[tuple[int, int]]) ->
 def features(images: list[bytes | None]) -> list[tuple]:
     """(status, width, height, components, thumb width, thumb height, thumbnail, hash) of each image."""
     out: list[tuple] = [("empty", *[None] * 7)] * len(images)
-    order = sorted(range(len(images)), key=lambda i: len(images[i] or b""))  # a slice takes as long as its longest lane, so images of like size share one
-    for a, b in slices([len(images[i] or b"") for i in order], SLICE):
-        rows, heads = [], []
-        for i in order[a:b]:
-            if not images[i]:
-                continue
-            try:
-                h = parse(images[i])
-            except Broken as e:
-                out[i] = (e.args[0], *[None] * 7)
-                continue
-            if h.scan is None:
-                out[i] = ("unsupported", h.width, h.height, h.components, *[None] * 4)
-            else:
-                rows.append(i)
-                heads.append(h)
-        dcs, status = decode(heads)
-        thumbs = [grey(d, h.quant) for d, h in zip(dcs, heads, strict=True)]
-        hashes = difference_hash(thumbs, [h.thumb for h in heads])
-        for i, h, t, s, x in zip(rows, heads, thumbs, status.tolist(), hashes, strict=True):
-            good = s == 0
-            out[i] = (("ok", "truncated", "corrupt")[s], h.width, h.height, h.components, h.thumb[0] if good else None, h.thumb[1] if good else None, t.tobytes() if good else None, x if good else None)
+    rows: list[tuple[int, Header]] = []
+    for i in sorted(range(len(images)), key=lambda i: len(images[i] or b"")):  # a slice takes as long as its longest lane, so images of like size share one
+        if not images[i]:
+            continue
+        try:
+            h = parse(images[i])
+        except Broken as e:
+            out[i] = (e.args[0], *[None] * 7)
+            continue
+        if h.scan is None:
+            out[i] = (h.status, h.width, h.height, h.components, *[None] * 4)
+        else:
+            rows.append((i, h))
+    at, total, tables = 0, 0, set()
+    for k, (i, h) in enumerate(rows):
+        more = tables | set(h.scan.tables)
+        if k > at and (total + len(images[i]) > SLICE or len(more) > TABLES):
+            _decoded(rows[at:k], out)
+            at, total, more = k, 0, set(h.scan.tables)
+        total, tables = total + len(images[i]), more
+    _decoded(rows[at:], out)
     return out
 
 
+def _decoded(rows: list[tuple[int, Header]], out: list[tuple]) -> None:
+    heads = [h for _, h in rows]
+    dcs, status = decode(heads)
+    thumbs = [grey(d, h.quant) for d, h in zip(dcs, heads, strict=True)]
+    hashes = difference_hash(thumbs, [h.thumb for h in heads])
+    for (i, h), t, s, x in zip(rows, thumbs, status.tolist(), hashes, strict=True):
+        good = s == 0
+        out[i] = (("ok", "truncated", "corrupt")[s], h.width, h.height, h.components, h.thumb[0] if good else None, h.thumb[1] if good else None, t.tobytes() if good else None, x if good else None)
+
+
 def media_features(df: DataFrame, media: str = "media", key: str = "page_id") -> DataFrame:
     """One row for each row: what is known of its image."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]

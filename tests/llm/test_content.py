@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import base64
 import itertools
 import math
 import random
 import re
 import shutil
 import time
+import tracemalloc
 import uuid
 
 import numpy as np
@@ -260,3 +262,74 @@ def test_posters_grow():
     assert {r[0] for r in got} == {"ok"} and all(r[1] * r[2] >= len(p) for p, r in zip(pages, got, strict=True))
     assert all(r[4] >= 9 and r[5] >= 8 for r in got)
     assert len({r[7] for r in got}) == len(pages)
+
+
+POSTER = posters.poster("<html>" + "hello world " * 60)
+#: A one-pixel image of a public encoder, colour, 4:2:0 without optimised tables.
+PIXEL = base64.b64decode(
+    "/9j/4AAQSkZJRgABAQEAYABgAAD/2wBDAAIBAQIBAQICAgICAgICAwUDAwMDAwYEBAMFBwYHBwcGBwcICQsJCAgKCAcHCg0KCgsMDAwMBwkODw0MDgsMDAz/2wBDAQICAgMDAwYDAwYMCAcIDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAwMDAz/"
+    "wAARCAABAAEDASIAAhEBAxEB/8QAHwAAAQUBAQEBAQEAAAAAAAAAAAECAwQFBgcICQoL/8QAtRAAAgEDAwIEAwUFBAQAAAF9AQIDAAQRBRIhMUEGE1FhByJxFDKBkaEII0KxwRVS0fAkM2JyggkKFhcYGRolJicoKSo0NTY3ODk6Q0RFRkdISUpTVFVWV1hZWmNkZWZnaGlqc3R1dnd4"
+    "eXqDhIWGh4iJipKTlJWWl5iZmqKjpKWmp6ipqrKztLW2t7i5usLDxMXGx8jJytLT1NXW19jZ2uHi4+Tl5ufo6erx8vP09fb3+Pn6/8QAHwEAAwEBAQEBAQEBAQAAAAAAAAECAwQFBgcICQoL/8QAtREAAgECBAQDBAcFBAQAAQJ3AAECAxEEBSExBhJBUQdhcRMiMoEIFEKRobHBCSMz"
+    "UvAVYnLRChYkNOEl8RcYGRomJygpKjU2Nzg5OkNERUZHSElKU1RVVldYWVpjZGVmZ2hpanN0dXZ3eHl6goOEhYaHiImKkpOUlZaXmJmaoqOkpaanqKmqsrO0tba3uLm6wsPExcbHyMnK0tPU1dbX2Nna4uPk5ebn6Onq8vP09fb3+Pn6/9oADAMBAAIRAxEAPwD9/KKKKAP/2Q=="
+)
+
+
+def java_jpeg(spark, width, height, colour, seed):
+    """An image written by the JVM's own encoder, and its own reading of it as grey means."""
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(width, height, 1 if colour else 10)
+    rng = random.Random(seed)
+    for y in range(height):
+        for x in range(width):
+            v = (x * 3 + y * 2 + rng.randrange(20)) % 256
+            image.setRGB(x, y, v << 16 | (v + 40 * colour) % 256 << 8 | v)
+    out = jvm.java.io.ByteArrayOutputStream()
+    assert jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    data = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
+    if not colour:
+        return data, np.array([[back.getRaster().getSample(x, y, 0) for x in range(width)] for y in range(height)])
+    rgb = np.array([[back.getRGB(x, y) & 0xFFFFFF for x in range(width)] for y in range(height)])
+    return data, 0.299 * (rgb >> 16) + 0.587 * (rgb >> 8 & 255) + 0.114 * (rgb & 255)
+
+
+def test_foreign_jpegs(spark):
+    assert media.features([PIXEL])[0][:6] == ("ok", 1, 1, 3, 1, 1)
+    for width, height, colour in ((16, 16, True), (40, 24, True), (33, 17, False)):
+        data, grey = java_jpeg(spark, width, height, colour, width)
+        r = media.features([data])[0]
+        assert r[:6] == ("ok", width, height, 3 if colour else 1, -(-width // 8), -(-height // 8))
+        thumb = np.frombuffer(r[6], np.uint8).reshape(r[5], r[4]).astype(float)
+        for y in range(height // 8):
+            for x in range(width // 8):
+                assert abs(thumb[y, x] - grey[8 * y : 8 * y + 8, 8 * x : 8 * x + 8].mean()) < 6
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.sampled_from([POSTER, PIXEL, posters.poster("x" * 301), posters.poster("y" * 302)]), st.lists(st.tuples(st.floats(0, 1, exclude_max=True), st.integers(0, 255)), max_size=4), st.floats(0, 1), st.booleans())
+def test_no_bytes_raise(data, changes, keep, cut):
+    raw = bytearray(data)
+    for where, value in changes:
+        raw[int(where * len(raw))] = value
+    if cut:
+        raw = raw[: int(keep * len(raw))]
+    (r,) = media.features([bytes(raw)])
+    assert r[0] in ("ok", "truncated", "corrupt", "unsupported", "not_jpeg", "empty") and (r[6] is not None) == (r[0] == "ok")
+
+
+def test_many_broken_images():
+    """Each header byte with each of several values, in one call, so that none harms another."""
+    end = PIXEL.index(b"\xff\xda") + 14
+    raw = [PIXEL[:i] + bytes([v]) + PIXEL[i + 1 :] for i in range(end) for v in (0, 1, 2, 5, 16, 0x7F, 0xC0, 0xFF)]
+    got = media.features([*raw, PIXEL])
+    assert got[-1][0] == "ok" and {"corrupt", "ok", "truncated", "unsupported"} <= {r[0] for r in got}
+
+
+def test_lying_header():
+    at = POSTER.index(b"\xff\xc0")
+    lie = POSTER[: at + 5] + b"\xff\xff\xff\xff" + POSTER[at + 9 :]
+    tracemalloc.start()
+    (r,) = media.features([lie])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert r[:3] == ("truncated", 65535, 65535) and peak < 8_000_000
