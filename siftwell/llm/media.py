@@ -190,11 +190,11 @@ def parse(data: bytes) -> Header:
 
 
 @functools.lru_cache(maxsize=2 * TABLES)
-def lookup(table: bytes, dc: bool) -> tuple[np.ndarray, ...]:
-    """By the next 16 bits. DC: (bits of the code, size of the value), 0 bits where no code fits.
+def lookup(table: bytes, dc: bool) -> np.ndarray:
+    """By the next 16 bits, in one number. DC: bits of the code (5 bits, 0 where no code fits), size of the value.
 
-    AC: (bits with the value, coefficients) of one code, 64 coefficients for the end of a block; then the same for as many
-    whole codes as the 16 bits hold, and whether the block ends with them."""
+    AC: for as many whole codes as the 16 bits hold, the bits with the values (5), the coefficients (7) and whether the block
+    ends with them (1); then bits (5) and coefficients (7) of one code, 64 coefficients for the end of a block."""
     counts, values = np.frombuffer(table[:16], np.uint8), np.frombuffer(table[16:], np.uint8)
     bits, symbol = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
     code = at = 0
@@ -208,7 +208,7 @@ def lookup(table: bytes, dc: bool) -> tuple[np.ndarray, ...]:
             at += 1
         code <<= 1
     if dc:
-        return bits.astype(np.uint8), symbol.astype(np.uint8)
+        return (bits | symbol << 5).astype(np.int32)
     run, size = symbol >> 4, symbol & 15
     one = np.where(bits > 0, bits + size, 0)
     step = np.where(symbol == 0, 64, np.where(symbol == 0xF0, 16, run + 1))
@@ -225,7 +225,7 @@ def lookup(table: bytes, dc: bool) -> tuple[np.ndarray, ...]:
         steps[live] += np.where(end, 0, step[rest])
         over[live] = end
         live = live[~end]
-    return tuple(x.astype(np.uint8) for x in (one, step, many, steps)) + (over,)
+    return (many | steps << 5 | over.astype(np.int64) << 12 | one << 13 | step << 18).astype(np.int32)
 
 
 def decode(heads: list[Header]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -276,8 +276,7 @@ def _lanes(image, pos, end, units, data, orders, lum_at, places, dcs, acs, out,
     table = np.zeros((len(kinds), max(map(len, kinds)), 4), np.int64)
     for o, i in kinds.items():
         table[i, : len(o)] = o
-    dc_bits, dc_size = (np.concatenate(x) for x in zip(*dcs, strict=True))
-    one, step, many, steps, over = (np.concatenate(x) for x in zip(*acs, strict=True))
+    dc, ac = np.concatenate(dcs), np.concatenate(acs)
     lane = np.arange(len(image))
     pred = np.zeros((len(image), 4), np.int64)
     unit, k = np.zeros(len(image), np.int64), np.zeros(len(image), np.int64)
@@ -297,8 +296,8 @@ def _lanes(image, pos, end, units, data, orders, lum_at, places, dcs, acs, out,
         first = k[live] == 0
         at = live[first]
         if len(at):
-            e = now[at, 1] * 65536 + code[first]
-            n, size = dc_bits[e].astype(np.int64), dc_size[e].astype(np.int64)
+            e = dc[now[at, 1] * 65536 + code[first]].astype(np.int64)
+            n, size = e & 31, e >> 5
             bad = (n == 0) | (size > 15)
             size = np.where(bad, 0, size)
             value = np.where(size > 0, ((w[first] << n.astype(np.uint64)) >> np.uint64(1) >> (63 - size).astype(np.uint64)).astype(np.int64), 0)
@@ -312,11 +311,11 @@ def _lanes(image, pos, end, units, data, orders, lum_at, places, dcs, acs, out,
             fail(at[bad], p[first][bad])
         at = live[~first]
         if len(at):
-            e = now[at, 2] * 65536 + code[~first]
-            deep = k[at] + steps[e] <= 63
-            use = deep & (many[e] > 0)
-            n = np.where(use, many[e], one[e])
-            k[at] += np.where(use, np.where(over[e], 64, steps[e]), step[e])
+            e = ac[now[at, 2] * 65536 + code[~first]]
+            many, steps = e & 31, e >> 5 & 127
+            use = (k[at] + steps <= 63) & (many > 0)
+            n = np.where(use, many, e >> 13 & 31)
+            k[at] += np.where(use, np.where(e >> 12 & 1, 64, steps), e >> 18)
             pos[at] += n
             fail(at[n == 0], p[~first][n == 0])
         done = live[k[live] >= 64]
