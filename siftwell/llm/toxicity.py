@@ -1,20 +1,23 @@
 """Operator 4: toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic examples are the positives; a sample of all labelled texts, whose labels are then ignored, is the unlabelled
-set. Linear classifiers in numpy minimise the class-prior-corrected risk
+Confirmed toxic examples are the positives; texts of the corpus itself, whatever their labels, are the unlabelled set. No
+negative label is read. Linear classifiers in numpy minimise the class-prior-corrected risk
     pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives)),
-and when the second part falls below zero, the step goes up that part alone. The prior pi is the share of toxic rows in the
-whole labels table. The mean of the classifiers, each trained from another start, decides; the threshold is where
-the corrected zero-one risk is least, found for each language with OWN_THRESHOLD positives in the sample (its prior is pi
-times its share of the positives over its share of the unlabelled) and for all others together.
+and when the second part falls below zero, the step goes up that part alone. The prior pi is a parameter; where it is None it
+is estimated: by a first classifier, the least over all thresholds of the share of unlabelled texts above it to that of
+positives, as above a high one there are hardly any others. The mean of the classifiers, each trained from another start,
+decides; the threshold is where the corrected zero-one risk is least, found for each language with OWN_THRESHOLD positives in
+the sample (its prior is pi times its share of the positives over its share of the unlabelled) and for all others together.
 
 The features are a text's distinct words (letters, lower case), their stems of 4 to 8 letters, and whether at least 2, 3 or 4
-of the distinct words have a stem, by 64-bit hash: those that more positives have than chance allows. Training reads at most MAX_POSITIVE + MAX_UNLABELLED labelled texts, the first by the
-hash of their ids; scoring reads every text whole.
+of the distinct words have a stem, by 64-bit hash: those that more positives have than chance allows. Training reads at most
+MAX_POSITIVE confirmed texts and MAX_UNLABELLED of the corpus, chosen by the hash of their ids; scoring reads every text
+whole.
 
-Defined cases: null and empty texts have no words and are not toxic; a null language counts as ''; without any positive example nothing is toxic; a
-doc_id with several labels is positive if one of them is; labels without a text are left out; repeated rows are scored
-each; a null doc_id is scored too; other columns are ignored, whatever their names; an empty table gives an empty result."""
+Defined cases: null and empty texts have no words and are not toxic; a null language counts as ''; without any positive
+example nothing is toxic; a doc_id with several labels is positive if one of them is; labels without a text are left out;
+repeated rows are scored each; a null doc_id is scored too; other columns are ignored, whatever their names; an empty table
+gives an empty result."""
 
 from __future__ import annotations
 
@@ -30,10 +33,12 @@ from pyspark.sql import functions as F
 from .spark_io import cut, in_arrow, ship, slices
 from .textvec import LETTER, classes, code_points, mix, span_hashes, words
 
-#: The bounds of the training sample, and the other production parameters.
-MAX_POSITIVE, MAX_UNLABELLED = 4000, 12_000
+#: The bounds of the training sample, the share of toxic texts (None: estimated), and the other production parameters.
+MAX_POSITIVE, MAX_UNLABELLED, PRIOR = 4000, 12_000, None
 STEMS, LEVELS, LEAST_SHARE, LEAST_Z, CLASSIFIERS, STEPS, RATE, DECAY = (4, 5, 6, 7, 8), 4, 0.02, 5.0, 3, 1500, 0.05, 1e-5
 OWN_THRESHOLD = 10
+#: For the estimate of the prior: what the first classifier takes it for, and the least share of positives above a threshold.
+FIRST_PRIOR, LEAST_CAUGHT = 0.2, 0.5
 SCHEMA = "doc_id long, score double, toxic boolean"
 SLICE = 600_000
 
@@ -114,25 +119,49 @@ def _matrix(held: list[np.ndarray], features: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam over all rows."""
-    rng = np.random.RandomState(seed)
-    w = np.append(rng.normal(0, 0.01, xp.shape[1]), -1.0)
+def risk(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """pi * R+(positives), and R-(unlabelled) - pi * R-(positives) before it is held at zero; w: a column a classifier, the bias last."""
+    zp, zu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
+    # a positive costs log(1 + exp(-z)), a negative log(1 + exp(z))
+    return prior * np.logaddexp(0, -zp).mean(0), np.logaddexp(0, zu).mean(0) - prior * np.logaddexp(0, zp).mean(0)
+
+
+def gradient(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> np.ndarray:
+    """Of the risk; where its second part is below zero, the way up that part alone."""
+    zp, zu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
+    sp, su = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
+    negative = np.logaddexp(0, zu).mean(0) - prior * np.logaddexp(0, zp).mean(0)
+    times = lambda x, y: np.vstack([x.T @ y.astype(x.dtype), y.sum(0)]) / len(x)
+    up = -prior * times(xp, 1 - sp)
+    down = times(xu, su) - prior * times(xp, sp)
+    return np.where(negative >= 0, up + down, -down)
+
+
+def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, seeds: int = CLASSIFIERS, steps: int = STEPS) -> np.ndarray:
+    """Weights, a column a start, that minimise the non-negative risk with the logistic loss, by Adam over all rows."""
+    w = np.stack([np.append(np.random.RandomState(s).normal(0, 0.01, xp.shape[1]), -1.0) for s in range(seeds)], 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    add = lambda x: np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    xp, xu = add(xp), add(xu)
     for k in range(1, steps + 1):
-        zp, zu = xp @ w, xu @ w
-        sp, su = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
-        # a positive costs log(1 + exp(-z)), a negative log(1 + exp(z))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        up = -prior * (xp.T @ (1 - sp)) / len(xp)
-        down = xu.T @ su / len(xu) - prior * (xp.T @ sp) / len(xp)
-        g = up + down if negative >= 0 else -down
-        g = g + DECAY * np.append(w[:-1], 0)
+        g = gradient(w, xp, xu, prior)
+        g[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    return w[:-1], float(w[-1])
+    return w
+
+
+def estimated_prior(xp: np.ndarray, xu: np.ndarray) -> float:
+    """The share of positives among the unlabelled: trained on the even rows of both, read off the odd ones.
+
+    Above a threshold that LEAST_CAUGHT of the positives pass, the unlabelled texts that pass too are positives and few others;
+    the share of the former bounds theirs."""
+    w = fit_nnpu(xp[::2], xu[::2], FIRST_PRIOR, 1, STEPS // 5)[:, 0]
+    sp, su = np.sort(xp[1::2] @ w[:-1]), np.sort(xu[1::2] @ w[:-1])
+    if not len(sp) or not len(su):
+        return FIRST_PRIOR
+    at = np.unique(np.concatenate([sp, su])) - 1e-9
+    caught, flagged = 1 - np.searchsorted(sp, at) / len(sp), 1 - np.searchsorted(su, at) / len(su)
+    good = caught >= LEAST_CAUGHT
+    return float(np.clip((flagged[good] / caught[good]).min(), 1e-3, 0.9)) if good.any() else FIRST_PRIOR
 
 
 def best_threshold(sp: np.ndarray, su: np.ndarray, prior: float) -> float:
@@ -149,14 +178,15 @@ def best_threshold(sp: np.ndarray, su: np.ndarray, prior: float) -> float:
     return float(middle[good[int(np.argmax(gap))]])
 
 
-def train(candidates: np.ndarray, held: list[np.ndarray], positive: np.ndarray, prior: float, langs: list[str] | None = None) -> Model:
+def train(candidates: np.ndarray, held: list[np.ndarray], positive: np.ndarray, prior: float | None, langs: list[str] | None = None) -> Model:
     """candidates: sorted hashes; held: places of those that each sampled text has; positive: the confirmed ones, all others are the unlabelled set."""
     if not positive.any() or positive.all():
         return Model(np.zeros(0, np.uint64), np.zeros(0), -1.0, np.inf)
     features = choose_features(held, positive, len(candidates))
     x = _matrix(held, features)
-    fits = [fit_nnpu(x[positive], x[~positive], prior, seed) for seed in range(CLASSIFIERS)]
-    w, bias = np.mean([f[0] for f in fits], 0), float(np.mean([f[1] for f in fits]))
+    prior = estimated_prior(x[positive], x[~positive]) if prior is None else prior
+    mean = fit_nnpu(x[positive], x[~positive], prior).mean(1)
+    w, bias = mean[:-1], float(mean[-1])
     s = x @ w + bias
     own, tongue = {}, np.array(langs if langs is not None else [""] * len(held))
     for lang in np.unique(tongue):
@@ -182,16 +212,21 @@ def candidate_hashes(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array(got["h"].to_pylist(), np.int64).view(np.uint64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def _chosen(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most so many of the ids (l_id, distinct), by their hash: first those below a bound that about 1.2 times as many are under, then the least of these.
+
+    So no task sends more than its part of the sample."""
+    h = F.pmod(F.xxhash64("l_id", F.lit(seed)), F.lit(1 << 40))
+    bound = min(1 << 40, int((1.2 * most + 200) / max(1, ids.count()) * (1 << 40)))
+    return ids.filter(h < bound).orderBy(h, "l_id").limit(most)
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, prior: float | None = PRIOR) -> Model:
     ship(docs.sparkSession)
-    one = cut(labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    share = one.agg(F.avg("toxic")).first()[0] or 0.0
-    order = [F.xxhash64("doc_id", F.lit(11)), "doc_id"]
-    # a positive serves in one set or the other, by its hash: so the unlabelled set has the table's share of toxic texts
-    hidden = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)) == 0
-    p = one.filter((F.col("toxic") == 1) & ~hidden).orderBy(*order).limit(max_positive).withColumn("is_p", F.lit(True))
-    u = one.filter(hidden).orderBy(*order).limit(max_unlabelled).withColumn("is_p", F.lit(False))
-    chosen = p.unionByName(u).select(F.col("doc_id").alias("l_id"), "is_p")  # bounded by the two parameters, so it is broadcast
+    toxic = cut(labels.filter("doc_id is not null and toxic = 1").select(F.col("doc_id").alias("l_id")).distinct())
+    every = docs.filter("doc_id is not null").select(F.col("doc_id").alias("l_id"))
+    # both are bounded by the parameters, so they are broadcast; a text may serve in both sets, as a positive of the corpus
+    chosen = _chosen(toxic, max_positive, 11).withColumn("is_p", F.lit(True)).unionByName(_chosen(every, max_unlabelled, 5).distinct().withColumn("is_p", F.lit(False)))
     texts = cut(docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("is_p", F.coalesce("lang", F.lit("")).alias("lang"), "text").distinct())
     known = candidate_hashes(texts)
 
@@ -207,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
 
     got = texts.mapInArrow(run, "is_p boolean, lang string, held binary").toArrow()
     rows = sorted(zip(*(got[c].to_pylist() for c in ("is_p", "lang", "held")), strict=True))
-    return train(known, [np.frombuffer(r[2], np.int32) for r in rows], np.array([r[0] for r in rows], bool), float(share), [r[1] for r in rows])
+    return train(known, [np.frombuffer(r[2], np.int32) for r in rows], np.array([r[0] for r in rows], bool), prior, [r[1] for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -133,12 +133,53 @@ def test_toxicity(spark, docs, odd):
     assert toxicity.find_toxic(docs(rows), lab.limit(0)).count() == 0 and toxicity.find_toxic(odd.limit(0), lab).count() == 0
 
 
+def pu_rows(seed, n=200, share=0.1):
+    rng = np.random.RandomState(seed)
+    draw = lambda n, p: (rng.rand(n, 4) < p).astype(np.float32)
+    toxic, plain = [0.9, 0.5, 0.1, 0.1], [0.05, 0.5, 0.1, 0.1]
+    return draw(50, toxic), np.vstack([draw(int(n * share), toxic), draw(n - int(n * share), plain)])
+
+
+def plain_risk(w, xp, xu, prior):
+    """The two parts of the risk, a row at a time."""
+    z = lambda x: sum(a * b for a, b in zip(x, w[:-1], strict=True)) + w[-1]
+    mean = lambda rows, sign: sum(math.log1p(math.exp(sign * z(r))) for r in rows) / len(rows)
+    return prior * mean(xp, -1), mean(xu, 1) - prior * mean(xp, 1)
+
+
+def test_risk_and_gradient():
+    xp, xu = (x.astype(np.float64) for x in pu_rows(0))
+    signs = set()
+    for seed, prior in ((1, 0.1), (2, 0.3), (3, 0.9), (4, 0.99)):
+        w = np.vstack([np.random.RandomState(seed).normal(0, 2, (4, 1)), [[-3.0]]])
+        first, second = plain_risk(w[:, 0], xp, xu, prior)
+        got = toxicity.risk(w, xp, xu, prior)
+        assert (got[0][0], got[1][0]) == pytest.approx((first, second))
+        signs.add(second >= 0)
+        g = toxicity.gradient(w, xp, xu, prior)[:, 0]
+        for k in range(5):
+            step = np.zeros(5)
+            step[k] = 1e-5
+            a, b = plain_risk(w[:, 0] + step, xp, xu, prior), plain_risk(w[:, 0] - step, xp, xu, prior)
+            want = (sum(a) - sum(b)) / 2e-5 if second >= 0 else -(a[1] - b[1]) / 2e-5
+            assert g[k] == pytest.approx(want, abs=1e-4)
+    assert signs == {True, False}
+
+
 def test_risk_is_non_negative_corrected():
-    rng = np.random.RandomState(0)
-    xp = (rng.rand(50, 4) < [0.9, 0.5, 0.1, 0.1]).astype(np.float32)
-    xu = np.vstack([(rng.rand(20, 4) < [0.9, 0.5, 0.1, 0.1]), (rng.rand(180, 4) < [0.05, 0.5, 0.1, 0.1])]).astype(np.float32)
-    w, _ = toxicity.fit_nnpu(xp, xu, 0.1, 0)
-    assert w[0] > 1 and w[0] > 3 * abs(w[1])
+    xp, xu = pu_rows(0)
+    w = toxicity.fit_nnpu(xp, xu, 0.1, 2)
+    assert (w[0] > 1).all() and (w[0] > 3 * abs(w[1])).all()
+
+
+def test_prior_is_estimated():
+    for share in (0.05, 0.2, 0.5):
+        rng = np.random.RandomState(int(share * 100))
+        draw = lambda n, p: (rng.rand(n, 6) < p).astype(np.float32)
+        toxic, plain = [0.7, 0.7, 0.7, 0.2, 0.2, 0.2], [0.01, 0.01, 0.01, 0.2, 0.2, 0.2]
+        xp, xu = draw(600, toxic), np.vstack([draw(int(3000 * share), toxic), draw(3000 - int(3000 * share), plain)])
+        xu = xu[rng.permutation(len(xu))]
+        assert toxicity.estimated_prior(xp, xu) == pytest.approx(share, rel=0.35)
 
 
 def scalar_decode(data):

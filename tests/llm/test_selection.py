@@ -20,12 +20,28 @@ def mixed_brute(rows, weights, default, fraction, levels):
     by = defaultdict(list)
     for i, t, s in rows:
         by[s or ""].append((h(i), i, tokens(t)))
-    total, w = sum(x[2] for v in by.values() for x in v), {s: weights.get(s, default) for s in by}
+    have = {s: sum(x[2] for x in v) for s, v in by.items()}
+    total, w = sum(have.values()), {s: max(1, int(weights.get(s, have[s] ** 0.5 if default is None else default) * 1024)) for s in by}
+
+    def budget(wanted):
+        """Deal what is left by weight; who has less gives all; until none does."""
+        left, full = set(by), {}
+        while True:
+            rest = wanted - sum(full.values())
+            less = {s for s in left if have[s] / w[s] <= rest / sum(w[x] for x in left)}
+            if not less:
+                return full | {s: int(rest * w[s] / sum(w[x] for x in left)) for s in left}
+            full |= {s: have[s] for s in less}
+            left -= less
+            if not left:
+                return full
+
+    budgets = [budget(int(total * fraction * f)) for f in levels]
     out = []
     for s, v in by.items():
         for x, i, n in v:
             run = sum(m for y, _, m in v if y <= x)
-            fits = [k + 1 for k, f in enumerate(levels) if run <= int(total * fraction * f * w[s] / sum(w.values()))]
+            fits = [k + 1 for k, f in enumerate(levels) if run <= budgets[k][s]]
             if fits:
                 out.append((i, s, n, fits[0]))
     return sorted(out, key=str)
@@ -34,9 +50,16 @@ def mixed_brute(rows, weights, default, fraction, levels):
 def test_mixing(docs, odd):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randint(0, 50), "en", rng.choice(["src0", "a", "b", None])) for i in range(400)]
-    args = ({"src0": 3.0}, 1.0, 0.6, (0.1, 0.5, 1.0))
-    got = mixing.mix_report(docs(rows), weights=args[0], default_weight=args[1], total_fraction=args[2], levels=args[3])
-    assert sorted(map(tuple, got.collect()), key=str) == mixed_brute([(i, t, s) for i, t, _, s in rows], *args)
+    few = [(1000 + i, "w " * 5, "en", "few") for i in range(9)]
+    for args in (({"src0": 3.0}, 1.0, 0.6, (0.1, 0.5, 1.0)), ({}, None, 0.9, (0.5, 1.0))):
+        names = dict(zip(("weights", "default_weight", "total_fraction", "levels"), args, strict=True))
+        got = mixing.mix_report(docs(rows + few), **names)
+        assert sorted(map(tuple, got.collect()), key=str) == mixed_brute([(i, t, s) for i, t, _, s in rows + few], *args)
+        shares = mixing.mix_shares(docs(rows + few), **names).collect()
+        # the budget is met but for the last document of each source
+        every = sum(r.available for r in shares)
+        assert args[2] * every - 50 * len(shares) <= sum(r.tokens for r in shares) <= args[2] * every and sum(r.target for r in shares) == pytest.approx(1)
+        assert all(r.tokens == r.available for r in shares if r.source == "few")
     kept = mixing.mix_filter(odd, total_fraction=1e9)
     assert kept.count() == odd.count() and kept.columns == odd.columns
     assert mixing.mix_filter(odd.limit(0)).count() == mixing.mix_report(odd.limit(0)).count() == 0
