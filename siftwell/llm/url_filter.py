@@ -11,8 +11,8 @@ Each URL is cut into host and path segments (query and fragment go). Per host th
 3. A template's purity is (good + ALPHA * prior) / (labelled + ALPHA), the prior being the share of good labels over all
    pages; below MIN_PURITY its pages are rejected.
 
-A page is good if its label has quality 1 and isn't toxic; labels belong to pages of the same number. Segments beyond DEPTH
-form one last segment '**', so the tree's depth is bounded and every page is in it.
+A page is good if its label has quality 1 and isn't toxic; labels belong to pages of the same number. Paths of any depth are
+used whole; levels at which no host has more than FAN_OUT names can't widen and cost nothing.
 
 Defined cases: a null or empty URL and one without a scheme have the host '' and the template ''; several labels of one page
 count as good if all are; a null page_id has no label and its row is kept; repeated rows count each; no label at all gives
@@ -23,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spark_io import cut, join_small
+from .spark_io import BROADCAST_ROWS, cut, join_small
 
 #: Production parameters.
-DEPTH, FAN_OUT, MERGE_Z, ALPHA, MIN_PURITY = 6, 20, 1.0, 4.0, 0.4
+FAN_OUT, MERGE_Z, ALPHA, MIN_PURITY = 20, 1.0, 4.0, 0.4
 _EXT = "^.*[0-9].*(\\.[A-Za-z]{1,5})$"
 
 
@@ -35,11 +35,10 @@ def host_of(url: Column) -> Column:
 
 
 def segments_of(url: Column) -> Column:
-    """Path segments with the variable ones by their look as wildcards, those beyond DEPTH as '**'."""
+    """Path segments with the variable ones by their look as wildcards."""
     path = F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     each = F.filter(F.split(path, "/"), lambda s: s != "")
-    wild = F.transform(each, lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, _EXT, 1))).otherwise(s))
-    return F.when(F.size(wild) > DEPTH, F.concat(F.slice(wild, 1, DEPTH), F.array(F.lit("**")))).otherwise(wild)
+    return F.transform(each, lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, _EXT, 1))).otherwise(s))
 
 
 def page_labels(labels: DataFrame) -> DataFrame:
@@ -51,7 +50,9 @@ def page_labels(labels: DataFrame) -> DataFrame:
 def fan_out(counts: DataFrame, limit: int) -> DataFrame:
     """Replace the named children of nodes that have more than so many, level by level; counts: (u_host, u_segs, ...)."""
     keys = [c for c in counts.columns if c not in ("u_host", "u_segs")]
-    for d in range(DEPTH):
+    # only where a host has so many names at a level, whatever their parents, can a node have them
+    level = counts.select("u_host", F.posexplode("u_segs").alias("u_at", "u_name")).filter(~F.col("u_name").startswith("*")).distinct().groupBy("u_host", "u_at").agg(F.count(F.lit(1)).alias("u_n"))
+    for d in sorted(r[0] for r in level.filter(F.col("u_n") > limit).select("u_at").distinct().collect()):
         here = F.get("u_segs", F.lit(d))
         parent = F.slice("u_segs", 1, d)
         named = here.isNotNull() & ~here.startswith("*")
@@ -59,7 +60,7 @@ def fan_out(counts: DataFrame, limit: int) -> DataFrame:
         wide = cut(nodes.groupBy("u_host", "u_parent").agg(F.count(F.lit(1)).alias("u_n")).filter(F.col("u_n") > limit).select("u_host", "u_parent", F.lit(True).alias("u_wide")))
         if wide.isEmpty():
             continue
-        side = F.broadcast(wide) if wide.count() <= 100_000 else wide
+        side = F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide
         changed = F.transform("u_segs", lambda s, i: F.when((i == d) & F.col("u_wide") & ~s.startswith("*"), F.lit("*")).otherwise(s))
         counts = cut(counts.withColumn("u_parent", parent).join(side, ["u_host", "u_parent"], "left").withColumn("u_segs", F.when(F.col("u_wide"), changed).otherwise(F.col("u_segs"))).select("u_host", "u_segs", *keys))
     return counts
@@ -113,16 +114,14 @@ def oracle() -> str:
     scheme = "^[A-Za-z][A-Za-z0-9+.-]*://"
     raw = f"""SELECT page_id, coalesce(lower(regexp_extract(url, '{scheme}(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host,
   coalesce(list_transform(list_filter(string_split(regexp_extract(url, '{scheme}[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' || regexp_extract(s, '{_EXT.replace(chr(92) * 2, chr(92))}', 1) ELSE s END), []) AS segs FROM pages"""
-    levels, last = [], "lv"
-    for d in range(DEPTH):
-        levels.append(f"""w{d} AS (SELECT host, par FROM (SELECT DISTINCT host, segs[:{d}] AS par, segs[{d + 1}] AS c FROM {last} WHERE len(segs) > {d} AND NOT starts_with(segs[{d + 1}], '*')) GROUP BY host, par HAVING count(*) > {FAN_OUT}),
-l{d} AS (SELECT page_id, x.host, CASE WHEN w{d}.host IS NOT NULL AND len(segs) > {d} AND NOT starts_with(segs[{d + 1}], '*') THEN segs[:{d}] || ['*'] || segs[{d + 2}:] ELSE segs END AS segs, good FROM {last} x LEFT JOIN w{d} ON w{d}.host = x.host AND w{d}.par = segs[:{d}])""")
-        last = f"l{d}"
+    last = "(SELECT * FROM walk WHERE d = (SELECT deep FROM m))"
+    c = "CASE WHEN len(segs) > d AND NOT starts_with(segs[d + 1], '*') THEN segs[d + 1] END"
     named = "list_max(list_transform(range(1, len(segs) + 1), lambda i: CASE WHEN NOT starts_with(segs[i], '*') THEN i END))"
-    return f"""WITH r AS ({raw}),
+    return f"""WITH RECURSIVE r AS ({raw}),
 lab AS (SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
-lv AS (SELECT page_id, host, CASE WHEN len(segs) > {DEPTH} THEN segs[:{DEPTH}] || ['**'] ELSE segs END AS segs, good FROM r LEFT JOIN lab ON page_id = doc_id),
-{", ".join(levels)},
+m AS (SELECT max(len(segs)) AS deep FROM r),
+walk AS (SELECT 0 AS d, page_id, host, segs, good FROM r LEFT JOIN lab ON page_id = doc_id
+UNION ALL SELECT d + 1, page_id, host, CASE WHEN wide > {FAN_OUT} AND c IS NOT NULL THEN segs[:d] || ['*'] || segs[d + 2:] ELSE segs END, good FROM (SELECT *, {c} AS c, count(DISTINCT {c}) OVER (PARTITION BY host, segs[:d]) AS wide FROM walk) WHERE d < (SELECT deep FROM m)),
 node AS (SELECT host, segs, count(*) AS n, count(good) AS k, coalesce(sum(good), 0) AS g, {named} AS nm FROM {last} GROUP BY host, segs),
 fam AS (SELECT *, CASE WHEN nm IS NOT NULL THEN segs[:nm - 1] || ['{{}}'] || segs[nm + 1:] END AS family FROM node),
 agg AS (SELECT *, sum(k) OVER (PARTITION BY host, family) AS fk, sum(g) OVER (PARTITION BY host, family) AS fg, count(*) OVER (PARTITION BY host, family) AS members FROM fam),
