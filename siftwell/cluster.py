@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,12 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none, as in tests."""
+    """The cluster's shared folder, from spark.checkpoint.dir. Where that is unset, a local session gets a temporary one, which goes at exit; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.conf.get("spark.siftwell.ownCheckpointDir", None)
         if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="siftwell-")
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            own = tempfile.mkdtemp(prefix="siftwell-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            folder = "file://" + own
             spark.conf.set("spark.siftwell.ownCheckpointDir", folder)
             spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -17,11 +17,13 @@ STOP_WORDS = (
     "you"
 ).split()
 VOWELLESS, GOOD_LENGTHS = 3, (2, 20)
-_RUN = "[\\p{L}\\p{N}_]+"
+#: A run of word characters that are all a-z or A-Z.
+_LATIN = "(?<![\\p{L}\\p{N}_])[A-Za-z]++(?![\\p{L}\\p{N}_])"
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+    """Without white space at both ends; a run within is passed once."""
+    return F.regexp_replace(text, "(?U)^\\s++|(?<!\\s)\\s++$", "")
 
 
 def blank(text: Column) -> Column:
@@ -62,13 +64,13 @@ def special_ratio(text: Column) -> Column:
 
 
 def latin_words(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), lambda w: w.rlike("^[A-Za-z]+$"))
+    return F.regexp_extract_all(text, F.lit(_LATIN), F.lit(0))
 
 
-def word_ratio(text: Column) -> Column:
-    """Share of words of a usual length that hold a vowel (short ones needn't)."""
+def word_ratio(text: Column, words: Column | None = None) -> Column:
+    """Share of words of a usual length that hold a vowel (short ones needn't). words: latin_words(text), where they are known."""
     good = lambda w: F.length(w).between(*GOOD_LENGTHS) & (w.rlike("[aeiouAEIOU]") | (F.length(w) <= VOWELLESS))
-    words = latin_words(text)
+    words = latin_words(text) if words is None else words
     return ratio(F.size(F.filter(words, good)), F.size(words))
 
 
@@ -77,9 +79,10 @@ def consonant_runs(text: Column) -> Column:
     return F.least(F.lit(1.0), ratio(held * 10, F.length(text)))
 
 
-def gibberish(text: Column) -> Column:
-    """Confidence in 0..1 that the text is gibberish; texts under 10 characters never are."""
-    special, good = special_ratio(text), word_ratio(text)
+def gibberish(text: Column, special: Column | None = None, good: Column | None = None) -> Column:
+    """Confidence in 0..1 that the text is gibberish; texts under 10 characters never are. special, good: the ratios, where they are known."""
+    special = special_ratio(text) if special is None else special
+    good = word_ratio(text) if good is None else good
     total = (
         F.when(entropy(text) > 4.5, 0.2).otherwise(0.0)
         + F.when(special > 0.3, special / 0.5 * 0.3).otherwise(0.0)
@@ -100,14 +103,14 @@ def ocr_confidence(text: Column) -> Column:
     return F.when(text == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
-def density(text: Column) -> Column:
-    words = latin_words(F.lower(text))
+def density(text: Column, words: Column | None = None) -> Column:
+    """words: latin_words(lower(text)), where they are known."""
+    words = latin_words(F.lower(text)) if words is None else words
     n = F.size(words)
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    letters = F.aggregate(words, F.lit(0), lambda t, w: t + F.length(w))
+    letters = F.length(F.array_join(words, ""))
     score = (
         F.least(F.lit(1.0), ratio(F.size(F.array_distinct(words)), n) / 0.5) * 0.3
-        + (1 - ratio(F.size(F.filter(words, lambda w: F.array_contains(stop, w))), n)) * 0.3
+        + (1 - ratio(F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))), n)) * 0.3
         + F.least(F.lit(1.0), ratio(letters, n) / 6) * 0.2
         + F.when(sentence_count(text) > 0, 0.2).otherwise(0.0)
     )

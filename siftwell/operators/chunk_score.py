@@ -20,16 +20,24 @@ def issue(when: Column, code: str, severity: str | Column) -> Column:
     return F.when(when, F.struct(F.lit(code).alias("code"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity")))
 
 
+def missing_keys(metadata: Column, required: tuple[str, ...]) -> Column:
+    """The required keys that aren't there or null, in the order they are asked for."""
+    return F.filter(F.array(*map(F.lit, required)).cast("array<string>"), lambda k: F.coalesce(metadata, F.create_map().cast("map<string,string>"))[k].isNull())
+
+
 def validate(chunks_: DataFrame, required: tuple[str, ...] = (), duplicate: Column | None = None) -> DataFrame:
     """The rows with extraction, coherence, density, duplicate, score, passed and issues (in the order of the checks).
 
     duplicate: the duplicate score (1 - similarity to the best earlier match), 1 where null. A null text is an empty one."""
     text = F.coalesce("text", F.lit(""))
-    s = chunks_.withColumns({"_s": T.stripped(text), "_gib": T.gibberish(text), "_den": T.density(text)}).withColumn("_len", F.length("_s"))
+    # words and ratios are columns of their own, as an expression that is used again within another would be evaluated again
+    s = chunks_.withColumns({"_s": T.stripped(text), "_w": T.latin_words(text), "_lw": T.latin_words(F.lower(text)), "_sp": T.special_ratio(text)})
+    s = s.withColumns({"_good": T.word_ratio(text, F.col("_w")), "_den": T.density(text, F.col("_lw")), "_len": F.length("_s")}).drop("_w", "_lw")
+    s = s.withColumn("_gib", T.gibberish(text, F.col("_sp"), F.col("_good"))).drop("_sp", "_good")
     dup = F.coalesce(duplicate, F.lit(1.0)) if duplicate is not None else F.lit(1.0)
     empty, gib = F.col("_len") == 0, F.col("_gib") >= 0.5
     bad_start, bad_end = F.col("_s").rlike("^\\p{Ll}"), ~empty & ~F.col("_s").rlike(SENTENCE_END)
-    missing = F.filter(F.array(*map(F.lit, required)).cast("array<string>"), lambda k: F.col("metadata")[k].isNull())
+    missing = missing_keys(F.col("metadata"), required)
     found = [
         issue(empty, "EMPTY_CONTENT", "error"),
         issue(~empty & (F.col("_len") < MIN_LENGTH), "CONTENT_TOO_SHORT", "warning"),
@@ -102,3 +110,12 @@ def page_score(df: DataFrame) -> DataFrame:
 def pdf_page_score(text: Column, scanned: Column) -> Column:
     special = T.special_ratio(text)
     return F.when(scanned, 0.3).otherwise(1.0) * F.when(F.length(T.stripped(text)) < MIN_LENGTH, 0.5).otherwise(1.0) * F.when(special > 0.3, 1 - special).otherwise(1.0)
+
+
+def pdf_issues(pages: DataFrame, file: str, text: Column, scanned: Column) -> DataFrame:
+    """A row for each file: scanned_pages, low_pages, avg_score and issues (code, severity) in order."""
+    low = F.col("_score") < 0.5
+    p = pages.select(F.col(file), scanned.alias("_scanned"), pdf_page_score(text, scanned).alias("_score"), F.coalesce(F.length(text), F.lit(0)).alias("_n"))
+    g = p.groupBy(file).agg(F.count(F.when(F.col("_scanned"), 1)).alias("scanned_pages"), F.count(F.when(low, 1)).alias("low_pages"), F.avg("_score").alias("avg_score"), F.sum("_n").alias("_n"))
+    found = [issue(F.col("scanned_pages") > 0, "SCANNED_PAGES", "warning"), issue(F.col("low_pages") > 0, "LOW_QUALITY_PAGES", "warning"), issue(F.col("_n") < MIN_LENGTH, "INSUFFICIENT_CONTENT", "error")]
+    return g.withColumn("issues", F.filter(F.array(*found), lambda x: x.isNotNull())).drop("_n")

@@ -1,14 +1,14 @@
 """Near duplicates by exact Jaccard similarity, found without loss by prefix filtering.
 
-Each text is a set of hashed items (word 3-grams, or words). Equal sets are one class. Ordered by hash, two sets of Jaccard t
-or more share an item among the first n - ceil(t n) + 1 of each, so only these prefixes are joined, and candidates are
-verified on the whole sets. Texts without items have no partners."""
+Each text is a set of hashed items (word 3-grams, or words). Equal sets are one class, so copies aren't compared or expanded.
+Items that only one class has can't be shared; the others are ordered rarest first, and two sets of Jaccard t or more share
+one of the first shared - ceil(t n) + 1 of them. Only these prefixes are joined, within the size ratio, and candidates are
+verified on the shared items. Texts without items have no partners."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..cluster import cut
 
@@ -33,36 +33,73 @@ def item_sets(df: DataFrame, items: Column, key: str = "id") -> DataFrame:
     return cut(hashed.select("id", F.size("items").alias("n"), "items").filter("n > 0"))
 
 
-def near_pairs(sets: DataFrame, t: float) -> DataFrame:
-    """(a, b, similarity) of ids a < b with Jaccard t or more; each pair once."""
-    classed = sets.withColumn("set_hash", F.xxhash64("items"))
-    members = cut(classed.select("id", "n", "set_hash", F.min("id").over(Window.partitionBy("n", "set_hash")).alias("lead")))
-    leads = cut(sets.join(members.filter("id = lead").select("id"), "id"))
-    prefix = leads.select("id", "n", F.explode(F.slice("items", F.lit(1), (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))).alias("item"))
+def class_pairs(sets: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): members (id, lead) names each id's class by its least id; pairs (a, b, similarity) has each two leads a < b with Jaccard t or more once."""
+    classed = sets.select("id", "n", F.xxhash64("items").alias("h"))
+    leads = cut(classed.groupBy("n", "h").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("k")))
+    members = cut(classed.join(leads, ["n", "h"]).select("id", "lead"))
+    one = sets.join(leads.select(F.col("lead").alias("id")), "id").select("id", "n", F.explode("items").alias("item"))
+    often = one.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    least = F.ceil(F.col("n") * t - 1e-9).cast("int")
+    shared = one.join(often, "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("s")).filter(F.size("s") >= least)
+    shared = cut(shared.select("id", "n", F.transform("s", lambda x: x["item"]).alias("s")))
+    prefix = shared.select("id", "n", F.explode(F.slice("s", F.lit(1), F.size("s") - least + 1)).alias("item"))
     a, b = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "item") for x in "ab")
-    maybe = cut(a.join(b, "item").filter((F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * t - 1e-9) & (F.col("nb") >= F.col("na") * t - 1e-9)).select("a", "b").distinct())
-    sa, sb = (leads.select(F.col("id").alias(x), F.col("items").alias(f"s{x}")) for x in "ab")
+    maybe = a.join(b, (a["item"] == b["item"]) & (F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * t - 1e-9) & (F.col("nb") >= F.col("na") * t - 1e-9)).select("a", "b", "na", "nb").distinct()
+    sa, sb = (shared.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    near = maybe.join(sa, "a").join(sb, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity")).filter(F.col("similarity") >= t - 1e-9)
-    of = members.select("lead", "id")
-    spread = near.join(of.select(F.col("lead").alias("a"), F.col("id").alias("x")), "a").join(of.select(F.col("lead").alias("b"), F.col("id").alias("y")), "b").select("x", "y", "similarity")
-    same = of.alias("p").join(of.alias("q"), (F.col("p.lead") == F.col("q.lead")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("x"), F.col("q.id").alias("y"), F.lit(1.0).alias("similarity"))
-    every = spread.unionByName(same)
-    return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity").filter("a != b")
+    near = cut(maybe).join(sa, "a").join(sb, "b").select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("similarity"))
+    return members, cut(near.filter(F.col("similarity") >= t - 1e-9))
 
 
-def penalties(pairs: DataFrame) -> DataFrame:
-    """(id, duplicate): 1 - similarity to the most similar earlier id."""
-    return pairs.groupBy(F.col("b").alias("id")).agg((1 - F.max("similarity")).alias("duplicate"))
+def near(sets: DataFrame, t: float) -> DataFrame:
+    """A row for each id that has a partner: (id, class_id, copies, links, best, duplicate, representative).
 
+    class_id is the least id of those with the same items and copies counts the others of them; links counts the classes with
+    Jaccard t or more, best is the highest similarity. duplicate is 1 - similarity to the most similar earlier id, and
+    representative the least earlier partner; both are null where all partners come later."""
+    members, pairs = class_pairs(sets, t)
+    ends = F.explode(F.array(F.struct(F.col("a").alias("lead"), F.col("b").alias("other")), F.struct(F.col("b").alias("lead"), F.col("a").alias("other")))).alias("e")
+    linked = pairs.select(ends, "similarity").select("e.*", "similarity").groupBy("lead").agg(F.count(F.lit(1)).alias("links"), F.max("similarity").alias("top"), F.min("other").alias("first"), F.max(F.when(F.col("other") < F.col("lead"), F.col("similarity"))).alias("before"))
+    classes = members.groupBy("lead").agg(F.count(F.lit(1)).alias("k")).join(linked, "lead", "left").filter("k > 1 or links > 0")
+    later = F.col("id") > F.col("lead")
+    return members.join(cut(classes), "lead").select(
+        "id", F.col("lead").alias("class_id"), (F.col("k") - 1).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), F.when(F.col("k") > 1, 1.0).otherwise(F.col("top")).alias("best"),
+        F.when(later, 0.0).otherwise(1 - F.col("before")).alias("duplicate"), F.least(F.when(later, F.col("lead")), F.when(F.col("first") < F.col("id"), F.col("first"))).alias("representative"),
+    )
 
-def groups(pairs: DataFrame) -> DataFrame:
+
+def penalties(found: DataFrame) -> DataFrame:
+    """(id, duplicate) of the ids that have an earlier partner."""
+    return found.filter("duplicate is not null").select("id", "duplicate")
+
+
+def groups(found: DataFrame) -> DataFrame:
     """(id, representative): each id that has an earlier partner goes to the least of these."""
-    return pairs.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("representative"))
+    return found.filter("representative is not null").select("id", "representative")
 
 
-def group_report(df: DataFrame, pairs: DataFrame) -> DataFrame:
+def group_report(df: DataFrame, found: DataFrame) -> DataFrame:
     """One row: rows checked, groups, rows in groups (representatives included)."""
-    g = groups(pairs)
+    g = groups(found)
     inside = g.select(F.explode(F.array("id", "representative")).alias("id")).distinct()
     return df.agg(F.count(F.lit(1)).alias("checked")).crossJoin(g.agg(F.countDistinct("representative").alias("duplicate_groups"))).crossJoin(inside.agg(F.count(F.lit(1)).alias("duplicate_chunks")))
+
+
+class Index:
+    """Sets of items that were seen before, in a store: new texts are compared with them and with each other, then added."""
+
+    def __init__(self, store, t: float = 0.92, items=shingles):
+        self.store, self.t, self.items = store, t, items
+
+    def add(self, df: DataFrame, key: str = "id", text: str = "text") -> None:
+        self.store.add(item_sets(df, self.items(F.col(text)), key))
+
+    def find(self, df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+        """near() of the new rows among all; an id that is there already is replaced for this."""
+        new, old = item_sets(df, self.items(F.col(text)), key), self.store.get_all()
+        every = new if old is None else old.join(new.select("id"), "id", "left_anti").unionByName(new)
+        return near(every, self.t).join(new.select("id"), "id", "left_semi")
+
+    def clear(self) -> None:
+        self.store.clear()

@@ -50,3 +50,14 @@ def recommendations(staleness_ratio: Column, duplicate_groups: Column, missing_t
     """Codes of what to do, in order."""
     each = [(staleness_ratio > 0.3, "RECRAWL_STALE"), (duplicate_groups > 0, "REMOVE_DUPLICATES"), (missing_topics > 0, "ADD_MISSING_TOPICS"), (avg_quality < 0.6, "REVIEW_QUALITY")]
     return F.filter(F.array(*[F.when(c, F.lit(k)) for c, k in each]), lambda x: x.isNotNull())
+
+
+def roll_up(stale: DataFrame, quality: DataFrame, copies: DataFrame, covered: DataFrame | None = None, golden: DataFrame | None = None) -> DataFrame:
+    """One row: staleness_ratio, avg_quality (0 where nothing is scored), duplicate_groups, missing_topics, golden_pass_rate (null without tests), recommendations.
+
+    stale, quality (avg_quality), copies (duplicate_groups) and golden (pass_rate) have one row each, covered one a topic."""
+    none = stale.limit(1).select(F.array().cast("array<string>").alias("missing_topics"))
+    missing = none if covered is None else covered.agg(F.array_sort(F.collect_list(F.when(~F.col("covered"), F.col("topic")))).alias("missing_topics"))
+    tested = stale.limit(1).select(F.lit(None).cast("double").alias("golden_pass_rate")) if golden is None else golden.select(F.col("pass_rate").alias("golden_pass_rate"))
+    one = stale.select("staleness_ratio").crossJoin(quality.select(F.coalesce("avg_quality", F.lit(0.0)).alias("avg_quality"))).crossJoin(copies.select("duplicate_groups")).crossJoin(missing).crossJoin(tested)
+    return one.withColumn("recommendations", recommendations(F.col("staleness_ratio"), F.col("duplicate_groups"), F.size("missing_topics"), F.col("avg_quality")))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..cluster import cut, ship
+
 ACCEPT, REVIEW = 0.6, 0.4
 
 
@@ -64,25 +71,81 @@ def irrelevant(text: Column, topics: list[str]) -> Column:
 
 
 def decide(df: DataFrame, intent: Intent, vector: Column, text: str = "text", embedding: str = "embedding") -> DataFrame:
-    """The rows with relevance (cosine moved to 0..1, 0 for an irrelevant topic), decision and topics."""
+    """The rows with relevance (cosine moved to 0..1, 0 for an irrelevant topic), decision and topics.
+
+    An irrelevant text is rejected with or without a vector; any other without one has no relevance and is 'unscored'."""
     score = F.when(irrelevant(F.col(text), intent.irrelevant), 0.0).otherwise((cosine(F.col(embedding), vector) + 1) / 2)
     d = df.withColumn("relevance", score)
-    return d.withColumns({"decision": F.when(F.col("relevance") >= intent.accept, "accept").when(F.col("relevance") >= intent.review, "review").otherwise("reject"), "topics": matched_topics(F.col(text), intent.topics)})
+    return d.withColumns({"decision": F.when(F.col("relevance").isNull(), "unscored").when(F.col("relevance") >= intent.accept, "accept").when(F.col("relevance") >= intent.review, "review").otherwise("reject"), "topics": matched_topics(F.col(text), intent.topics)})
+
+
+def enriched(decided: DataFrame, intent: Intent, metadata: str = "metadata") -> DataFrame:
+    """The accepted rows, their metadata with relevance_score, matched_topics and intent, which replace keys of these names."""
+    new = F.create_map(F.lit("relevance_score"), F.col("relevance").cast("string"), F.lit("matched_topics"), F.array_join("topics", ","), F.lit("intent"), F.lit(intent.name))
+    old = F.map_filter(F.coalesce(F.col(metadata), F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("relevance_score", "matched_topics", "intent"))
+    return decided.filter("decision = 'accept'").withColumn(metadata, F.map_concat(old, new))
 
 
 def relevance_report(decided: DataFrame) -> DataFrame:
     n = lambda k: F.coalesce(F.sum((F.col("decision") == k).cast("long")), F.lit(0)).alias(f"{k}ed")
     rate = lambda k: F.coalesce(F.avg((F.col("decision") == k).cast("double")), F.lit(0.0)).alias(f"{k}ance_rate" if k == "accept" else f"{k}ion_rate")
-    return decided.agg(F.count(F.lit(1)).alias("total"), n("accept"), n("review"), n("reject"), F.coalesce(F.avg("relevance"), F.lit(0.0)).alias("avg_relevance"), rate("accept"), rate("reject"))
+    return decided.agg(F.count(F.lit(1)).alias("total"), n("accept"), n("review"), n("reject"), F.count(F.when(F.col("decision") == "unscored", 1)).alias("unscored"), F.coalesce(F.avg("relevance"), F.lit(0.0)).alias("avg_relevance"), rate("accept"), rate("reject"))
+
+
+def _packed(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(ids, dim, vectors): an Arrow batch's vectors, with norm 1 or 0, as one row; null vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                m = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_pylist()])
+                norm = np.sqrt((m * m).sum(1, keepdims=True))
+                m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype(np.int64).tobytes()]), pa.array([m.shape[1]], pa.int32()), pa.array([m.tobytes()])], ["ids", "dim", "vectors"])
+
+    return df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(run, "ids binary, dim int, vectors binary")
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id") -> DataFrame:
-    """(query_id, key, score, rank): the k most similar vectors of each query, ties by key.
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", where: Column | None = None) -> DataFrame:
+    """(query_id, key, score, rank): the k most similar vectors of each query that meet the condition, ties by key.
 
-    queries (query_id, query) is the smaller side and is joined to each vector; the ranking keeps k rows of each task before it shuffles."""
-    scored = vectors.crossJoin(queries).withColumn("score", cosine(F.col("embedding"), F.col("query")))
+    Exact: blocks of vectors meet blocks of queries (query_id, query), a product each, which keeps the k best of the block for
+    each query; the ranking merges these. Scores are compared to twelve digits, so that the order of sums doesn't matter."""
+    ship(vectors.sparkSession)
+    all_ = _packed(vectors if where is None else vectors.filter(where), key, "embedding")
+    asked = cut(_packed(queries, "query_id", "query"))
+    pairs = all_.crossJoin(asked.toDF("q_ids", "q_dim", "q_vectors"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, dim, data, q_ids, q_dim, q_data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                v, q = np.frombuffer(data, np.float64).reshape(-1, dim), np.frombuffer(q_data, np.float64).reshape(-1, q_dim)
+                names, asks = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+                for at in range(0, len(q), 256):
+                    score = np.round(q[at : at + 256] @ v.T, 12)
+                    best = np.lexsort((np.broadcast_to(names, score.shape), -score), axis=1)[:, :k]
+                    found = np.take_along_axis(score, best, 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asks[at : at + 256], best.shape[1])), pa.array(names[best].reshape(-1)), pa.array(found.reshape(-1))], ["query_id", key, "score"])
+
+    scored = pairs.mapInArrow(run, f"query_id long, `{key}` long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col(key))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", key, "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def embedded(df: DataFrame, load: Callable[[], Callable[[list[str]], Any]], text: str = "text", into: str = "embedding", batch: int = 32) -> DataFrame:
+    """The rows with the vectors that a model gives: load() is called once a task, its result with so many texts at a time.
+
+    A null text is an empty one. The model is the caller's: none is part of this library."""
+    ship(df.sparkSession)
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for part in parts:
+            texts = ["" if t is None else t for t in part]
+            out = [list(map(float, v)) for at in range(0, len(texts), batch) for v in model(texts[at : at + batch])]
+            yield pd.Series(out, dtype=object)
+
+    return df.withColumn(into, F.pandas_udf(run, "array<double>", F.PandasUDFType.SCALAR_ITER)(F.col(text)))
 
 
 def golden_eval(retrieved: DataFrame, golden: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:

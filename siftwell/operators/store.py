@@ -29,11 +29,27 @@ def stats(df: DataFrame, embedding: str = "embedding") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("count"), F.max(F.size(embedding)).cast("int").alias("dimension"))
 
 
+def without_source(old: DataFrame, source: str) -> DataFrame:
+    """A null source is no named one, so its rows stay."""
+    return old.filter(~F.coalesce(F.col("source") == source, F.lit(False)))
+
+
+_SCALAR = "^(?:true|false|null|-?[0-9]+(?:\\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|[^\\[{].*)?$"
+
+
 def narrowed(df: DataFrame, sink: str) -> DataFrame:
-    """Metadata and text as a kind of sink keeps them: scalar keeps all as strings, short cuts texts to 1000 characters, bare drops metadata."""
+    """Metadata and text as a kind of sink keeps them.
+
+    scalar keeps all metadata, values that are lists or objects (JSON text) as the strings they are; short keeps scalars alone and
+    cuts texts to 1000 characters, which is what such a sink stores; bare drops metadata."""
     if sink == "short":
-        return df.withColumn("text", F.substring("text", 1, 1000))
-    return df.drop("metadata") if sink == "bare" else df
+        short = df.withColumn("text", F.substring("text", 1, 1000))
+        return short.withColumn("metadata", F.map_filter("metadata", lambda k, v: v.isNotNull() & v.rlike("(?s)" + _SCALAR))) if "metadata" in df.columns else short
+    if sink == "scalar":
+        return df.withColumn("metadata", F.map_filter("metadata", lambda k, v: v.isNotNull()))
+    if sink == "bare":
+        return df.drop("metadata")
+    raise ValueError(f"unknown sink {sink!r}")
 
 
 def placeholder_embedding(text: Column) -> Column:
@@ -54,6 +70,31 @@ def from_documents(df: DataFrame) -> DataFrame:
     return df.select("id", F.col("page_content").alias("text"), F.coalesce(F.col("metadata")["source"], F.lit("")).alias("source"), F.map_filter("metadata", lambda k, v: k != "source").alias("metadata"))
 
 
+def nodes_shape(df: DataFrame) -> DataFrame:
+    """(node_id, text, metadata) with source and quality score among the metadata."""
+    return documents_shape(df).select(F.col("id").alias("node_id"), F.col("page_content").alias("text"), "metadata")
+
+
+def from_nodes(df: DataFrame) -> DataFrame:
+    """Chunks of (node_id, text, metadata): the source, else the file path, moves out of the metadata."""
+    m = F.col("metadata")
+    # a file path is the source only where there is none, but leaves the metadata in either case
+    return df.select(F.col("node_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(m["source"], m["file_path"], F.lit("")).alias("source"), F.map_filter(m, lambda k, v: ~k.isin("source", "file_path")).alias("metadata"))
+
+
+def spans_shape(df: DataFrame) -> DataFrame:
+    """(text, metadata, quality_score), as splitters that work on spans take chunks back."""
+    return df.select("text", "metadata", "quality_score")
+
+
+def from_spans(df: DataFrame, source: str = "") -> DataFrame:
+    """Chunks of (text, start_index, end_index, token_count), of which the last three may be missing and go to the metadata."""
+    there = [c for c in ("start_index", "end_index", "token_count") if c in df.columns]
+    meta = F.map_filter(F.create_map(*[x for c in there for x in (F.lit(c), F.col(c).cast("string"))]).cast("map<string,string>"), lambda k, v: v.isNotNull())
+    rest = [c for c in df.columns if c not in {"text", *there}]
+    return df.select(*rest, F.coalesce("text", F.lit("")).alias("text"), F.lit(source).alias("source"), meta.alias("metadata"))
+
+
 class Store:
     """A folder of numbered versions; a write makes the next one and moves the pointer last, so a lost job leaves the old version."""
 
@@ -93,3 +134,24 @@ class Store:
         before = old.count()
         self._write(without(old, ids, self.key))
         return before - self.get_all().count()
+
+    def update(self, chunks: DataFrame) -> None:
+        """Rows whose keys are there are replaced, others are added."""
+        self.add(chunks)
+
+    def delete_source(self, source: str) -> None:
+        old = self.get_all()
+        if old is not None:
+            self._write(without_source(old, source))
+
+    def search(self, wanted: dict[str, str], limit: int = 100) -> DataFrame | None:
+        old = self.get_all()
+        return None if old is None else search_metadata(old, wanted, limit, self.key)
+
+    def stats(self) -> DataFrame | None:
+        old = self.get_all()
+        return None if old is None else stats(old) if "embedding" in old.columns else old.agg(F.count(F.lit(1)).alias("count"), F.lit(None).cast("int").alias("dimension"))
+
+    def clear(self) -> None:
+        fs, path = self._fs("CURRENT")
+        fs.delete(path, False)

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..cluster import cut
+from ..cluster import cut, shared_folder
 from ..operators import chunk_score as C
+from ..operators import chunkers as S2
+from ..operators import config as G
 from ..operators import duplicates as D
+from ..operators import export as E
 from ..operators import health as H
+from ..operators import ingest as N
 from ..operators import registry as R
 from ..operators import relevance as V
 from ..operators import rules as L
 from ..operators import store as K
 from ..sources import readers as S
 from . import quality_queries as B
+from . import signals_sql
 from .tables import six, table
 
 RULES = [
@@ -66,11 +75,41 @@ def p10_topics(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_join(V.matched_topics(F.col("text"), TOPICS), "|").alias("topics"))
 
 
+def p07_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Assistants' turns against facts, then against all rules without metadata."""
+    d = G.RuleSet(RULES, {f.key: f for f in FACTS}).responses(table(spark, sf, "conversations").filter("role = 'assistant'"))
+    return d.select("conv_id", "turn", "response_passed", F.array_join(F.transform("violations", lambda x: x["code"]), ",").alias("codes"))
+
+
+def p08_rules_from_yaml(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules by way of their YAML text and back."""
+    d = G.RuleSet.from_dict(yaml_round(G.RuleSet(RULES, {f.key: f for f in FACTS}).to_dict())).chunks(_meta(spark, sf))
+    return d.select(F.col("id").alias("doc_id"), F.array_join(F.transform("violations", lambda x: x["code"]), ",").alias("codes"), "rules_passed", six(F.col("rules_score")).alias("rules_score"))
+
+
+def yaml_round(data: dict) -> dict:
+    """Through YAML and back; where no YAML library is there, through JSON, which YAML includes."""
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(json.dumps(data))
+    return yaml.safe_load(G.write_yaml(data))
+
+
+def r05_registry_from_yaml(spark: SparkSession, sf: str) -> DataFrame:
+    """The registry by way of its YAML text and back, with a source and a blocked domain added by hand."""
+    r = G.Registry.from_dict(yaml_round(G.Registry(PATTERNS[:-1], BLOCKED[:-1]).to_dict()))
+    r.add_source(PATTERNS[-1].pattern, PATTERNS[-1].name, PATTERNS[-1].tier, PATTERNS[-1].days)
+    r.block_domain(BLOCKED[-1])
+    u = F.col("url")
+    return table(spark, sf, "pages").select("page_id", R.domain(u).alias("domain"), r.authority(u).alias("tier"), r.freshness_days(u).alias("days"), r.source_name(u).alias("name"), r.allowed(u).alias("allowed"), r.trusted(u).alias("trusted"))
+
+
 def _decided(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with the vectors of the same number, judged against vector 0."""
+    """All documents, with the vector of the same number where there is one, judged against vector 0."""
     e = table(spark, sf, "embeddings")
-    intent = e.filter("vec_id = 0").select(F.col("embedding").alias("intent"))  # one row
-    rows = table(spark, sf, "documents").select("doc_id", "text").join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").crossJoin(intent)
+    intent = F.broadcast(e.filter("vec_id = 0").select(F.col("embedding").alias("intent")))  # one row
+    rows = table(spark, sf, "documents").select("doc_id", "text").join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left").crossJoin(intent)
     return V.decide(rows, INTENT, F.col("intent"))
 
 
@@ -79,37 +118,66 @@ def p11_relevance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p12_enriched(spark: SparkSession, sf: str) -> DataFrame:
-    d = _decided(spark, sf).filter("decision = 'accept'")
-    return d.select("doc_id", F.to_json(F.struct(F.lit(INTENT.name).alias("intent"), F.array_join("topics", ",").alias("matched_topics"))).alias("metadata"))
+    """Accepted chunks with what was found among their metadata."""
+    d = V.enriched(_decided(spark, sf).withColumn("metadata", F.create_map(F.lit("kept"), F.lit("yes"))), INTENT)
+    return d.select("doc_id", *[F.col("metadata")[k].alias(k) for k in ("kept", "intent", "matched_topics")], six(F.col("metadata")["relevance_score"]).alias("relevance_score"))
+
+
+def p14_embedded(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents embedded by a model of three numbers, loaded once a task and called with batches."""
+
+    def load():
+        return lambda texts: [[len(t), t.count("e"), t.count(" ")] for t in texts]
+
+    d = V.embedded(table(spark, sf, "documents").select("doc_id", "text"), load)
+    return d.select("doc_id", *[F.col("embedding")[i].alias(f"x{i}") for i in range(3)])
 
 
 def a09_relevance_report(spark: SparkSession, sf: str) -> DataFrame:
     r = V.relevance_report(_decided(spark, sf))
-    return r.select("total", "accepted", "reviewed", "rejected", *[six(F.col(c)).alias(c) for c in ("avg_relevance", "acceptance_rate", "rejection_rate")])
+    return r.select("total", "accepted", "reviewed", "rejected", "unscored", *[six(F.col(c)).alias(c) for c in ("avg_relevance", "acceptance_rate", "rejection_rate")])
 
 
 def p15_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector with the next one."""
+    e = table(spark, sf, "embeddings")
+    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("q")), "vec_id").select("vec_id", six(V.cosine(F.col("embedding"), F.col("q"))).alias("similarity"))
+
+
+def _top(spark: SparkSession, sf: str, k: int = 10, where=None) -> DataFrame:
+    """Every row whose id is divisible by 20 asks all rows."""
     e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id = 1").select(F.col("embedding").alias("q"))
-    return e.crossJoin(q).select("vec_id", six(V.cosine(F.col("embedding"), F.col("q"))).alias("similarity"))
+    return V.top_k(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), k, where=where)
 
 
 def k02_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return _top(spark, sf).select("query_id", "vec_id", "rank")
+
+
+def k02_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    return _top(spark, sf, 5, F.col("label") == 3).select("query_id", "vec_id", "rank")
+
+
+def _golden(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Each asking vector wants those of its own label, but for itself."""
     e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return V.top_k(e, q, 10).select("query_id", "vec_id", "rank")
+    found = _top(spark, sf).join(e.select("vec_id", F.concat(F.lit("s"), "label").alias("source")), "vec_id").filter("vec_id != query_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return found.withColumn("rank", place), e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.array(F.concat(F.lit("s"), "label")).alias("expected"))
 
 
 def a10_golden(spark: SparkSession, sf: str) -> DataFrame:
-    """Each of five vectors asks for those of its own label."""
-    e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id < 5")
-    found = V.top_k(e, q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10).join(e.select("vec_id", F.concat(F.lit("s"), "label").alias("source")), "vec_id")
-    golden = q.select(F.col("vec_id").alias("query_id"), F.array(F.concat(F.lit("s"), "label")).alias("expected"))
-    r = V.golden_eval(found.filter("vec_id != query_id").withColumn("rank", F.col("rank") - 1), golden)
+    r = V.golden_eval(*_golden(spark, sf))
     return r.select("questions", *[six(F.col(c)).alias(c) for c in r.columns[1:]])
 
 
+def k11_junit(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions as test cases: passed if one of the first three found is wanted."""
+    found, golden = _golden(spark, sf)
+    hit = golden.join(found.filter("rank <= 3"), "query_id", "left").groupBy("query_id").agg(F.coalesce(F.bool_or(F.array_contains("expected", F.col("source"))), F.lit(False)).alias("passed"))
+    return E.junit_cases(hit.withColumn("reason", F.lit("no <expected> source")))
+
+
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """Events as chunks: a third has a date in its metadata."""
     e = table(spark, sf, "events")
@@ -144,13 +212,11 @@ def a07_drift(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a08_health(spark: SparkSession, sf: str) -> DataFrame:
-    stale = H.staleness_report(_stale(spark, sf)).select("staleness_ratio")
-    pairs = cut(B.near(spark, sf))
-    quality = C.report(B.validated(spark, sf, pairs)).select("avg_score")
-    copies = D.group_report(table(spark, sf, "documents"), pairs).select("duplicate_groups")
-    missing = H.coverage(table(spark, sf, "documents"), TOPICS).agg(F.sum((~F.col("covered")).cast("int")).alias("missing_topics"))
-    one = stale.crossJoin(quality).crossJoin(missing).crossJoin(copies)
-    return one.select(six(F.col("staleness_ratio")).alias("staleness_ratio"), six(F.col("avg_score")).alias("avg_quality"), F.col("missing_topics").cast("long").alias("missing_topics"), F.array_join(H.recommendations(F.col("staleness_ratio"), F.col("duplicate_groups"), F.col("missing_topics"), F.col("avg_score")), ",").alias("recommendations"))
+    docs = table(spark, sf, "documents")
+    found = cut(B.near(spark, sf))
+    quality = C.report(B.validated(spark, sf, found)).select(F.col("avg_score").alias("avg_quality"))
+    r = H.roll_up(H.staleness_report(_stale(spark, sf)), quality, D.group_report(docs, found), H.coverage(docs, TOPICS), V.golden_eval(*_golden(spark, sf)))
+    return r.select(six(F.col("staleness_ratio")).alias("staleness_ratio"), six(F.col("avg_quality")).alias("avg_quality"), "duplicate_groups", F.array_join("missing_topics", "|").alias("missing_topics"), six(F.col("golden_pass_rate")).alias("golden_pass_rate"), F.array_join("recommendations", ",").alias("recommendations"))
 
 
 def a11_intent_pipeline(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,7 +224,17 @@ def a11_intent_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     good = B.validated(spark, sf).select(F.col("id").alias("doc_id"), "passed")
     d = good.join(_decided(spark, sf).select("doc_id", "decision"), "doc_id", "left")
     on = lambda c: F.count(F.when(c, 1))
-    return d.agg(F.count(F.lit(1)).alias("total"), on(F.col("passed")).alias("quality_passed"), on(F.col("passed") & (F.col("decision") == "accept")).alias("accepted"), on(F.col("passed") & (F.col("decision") == "reject")).alias("rejected"))
+    each = [on(F.col("passed") & (F.col("decision") == k)).alias(name) for k, name in (("accept", "accepted"), ("review", "reviewed"), ("reject", "rejected"), ("unscored", "unscored"))]
+    return d.agg(F.count(F.lit(1)).alias("total"), on(F.col("passed")).alias("quality_passed"), *each)
+
+
+def a12_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark's texts into a new store in chunks of 300 characters: what was created, loaded and rejected, and what the store holds."""
+    store = K.Store(spark, f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    docs = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("benchmark").alias("source"))
+    r = cut(N.ingest_texts(docs, store, lambda d: S2.split_by_size(d, 300)))
+    held = store.get_all()
+    return r.select("documents", "bad_extraction", "created", "loaded", "rejected", six(F.col("avg_score")).alias("avg_score")).crossJoin(held.agg(F.count(F.lit(1)).alias("stored")) if held is not None else spark.range(1).select(F.lit(0).cast("long").alias("stored")))
 
 
 def k01_upsert(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,6 +243,70 @@ def k01_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return K.upserted(c.filter("id % 14 != 0"), new)
 
 
+def _customers(spark: SparkSession, sf: str) -> tuple[K.Store, DataFrame]:
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("text"), F.col("c_mktsegment").alias("source"))
+    return K.Store(spark, f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"), c
+
+
+def k04_get_all(spark: SparkSession, sf: str) -> DataFrame:
+    """What two additions to a store leave there."""
+    store, c = _customers(spark, sf)
+    store.add(c.filter("id % 3 != 0"))
+    store.add(c.filter("id % 2 = 0").withColumn("text", F.lower("text")))
+    return store.get_all()
+
+
+def k06_update(spark: SparkSession, sf: str) -> DataFrame:
+    store, c = _customers(spark, sf)
+    store.add(c)
+    store.update(c.filter("id % 10 = 0").withColumn("text", F.lit("new")))
+    return store.get_all()
+
+
+def k12_delete_source(spark: SparkSession, sf: str) -> DataFrame:
+    store, c = _customers(spark, sf)
+    store.add(c)
+    store.delete_source("BUILDING")
+    return store.get_all()
+
+
+def s07_database_to_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Database rows as chunks of ten characters, loaded to a store."""
+    store, _ = _customers(spark, sf)
+    rows = S.rows_to_chunks(table(spark, sf, "part"), "p_name", ["p_partkey"], 10)
+    store.add(rows.select(F.concat_ws("-", F.col("metadata")["p_partkey"], F.coalesce(F.col("metadata")["chunk_index"], F.lit("0"))).alias("id"), "text", "source", "metadata", "quality_score"))
+    return store.get_all().select("id", "text", "source", "quality_score")
+
+
+def s01_chunk_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as chunks written to JSON lines and read again from there."""
+    path = f"{shared_folder(spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    _meta(spark, sf).select(F.col("id").cast("string").alias("id"), "text", "source", "metadata").write.json(path)
+    return S.load_chunks(spark, path, "jsonl").select("id", "text", "source", F.col("metadata")["lang"].alias("lang"))
+
+
+def s14_paging(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as addresses, their lines as pages: read until one fails (returned) or is short (quantity)."""
+    pages = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return S.pages_read(pages, "l_orderkey", "l_linenumber", F.col("l_returnflag") != "R", F.col("l_quantity"), 10, 5).select("l_orderkey", "l_linenumber")
+
+
+def s20_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as nodes and back; every second has its source as a file path."""
+    n = K.nodes_shape(_meta(spark, sf).withColumn("quality_score", F.lit(0.5)))
+    path = F.col("node_id") % 2 == 0
+    moved = n.withColumn("metadata", F.when(path, F.map_concat(F.map_filter("metadata", lambda k, v: k != "source"), F.create_map(F.lit("file_path"), F.col("metadata")["source"]))).otherwise(F.col("metadata")))
+    return K.from_nodes(moved).select("id", "text", "source", F.col("metadata")["lang"].alias("lang"), F.size("metadata").alias("n"))
+
+
+def s20_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of the documents' texts as spans with their places."""
+    w = S2.split_by_size(table(spark, sf, "documents").select("doc_id", "text"), 400)
+    spans = w.select("doc_id", F.col("chunk").alias("text"), (F.col("chunk_index") * 400).alias("start_index"), (F.col("chunk_index") * 400 + F.length("chunk")).alias("end_index"))
+    c = K.from_spans(spans, "documents")
+    return c.select("doc_id", "text", "source", *[F.col("metadata")[k].cast("int").alias(k) for k in ("start_index", "end_index")])
+
+
 def k03_delete(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderstatus")
     return K.without(c, c.filter("o_orderstatus = 'F'"))
@@ -264,9 +404,8 @@ def s17_pdf_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def s19_pdf_issues(spark: SparkSession, sf: str) -> DataFrame:
     """Sources as files, their documents as pages."""
-    scanned = F.length("text") < 50
-    p = table(spark, sf, "documents").select("source", scanned.alias("scanned"), C.pdf_page_score(F.col("text"), scanned).alias("score"), F.length("text").alias("n"))
-    return p.groupBy("source").agg(F.count(F.when(F.col("scanned"), 1)).alias("scanned_pages"), F.count(F.when(F.col("score") < 0.5, 1)).alias("low_pages"), (F.sum("n") < 50).alias("insufficient"), six(F.avg("score")).alias("avg_score"))
+    p = C.pdf_issues(table(spark, sf, "documents"), "source", F.col("text"), F.length("text") < 50)
+    return p.select("source", "scanned_pages", "low_pages", six(F.col("avg_score")).alias("avg_score"), C.codes().alias("codes"))
 
 
 def s18_table_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,8 +420,10 @@ def s21_first_urls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def s22_fenced_json(spark: SparkSession, sf: str) -> DataFrame:
-    answer = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
-    return table(spark, sf, "events").select("event_id", F.get_json_object(S.fenced_json(answer), "$.n").cast("long").alias("n"))
+    """Events' properties as a model's fenced answers, every fifth broken."""
+    answer = F.when(F.col("event_id") % 5 == 0, F.lit("Sorry, no JSON {")).otherwise(F.concat(F.lit("```json\n"), "props", F.lit("\n```")))
+    found = S.json_or_error(answer)
+    return table(spark, sf, "events").select("event_id", F.get_json_object(found, "$.k").cast("long").alias("k"), F.get_json_object(found, "$.error").alias("error"))
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[:1] in "prtaks" and k[1:3].isdigit()}
@@ -292,8 +433,8 @@ _FIRST = f"CASE WHEN regexp_full_match({_DOM}, '.*\\.example\\.org') THEN {{0}}
 _OK = f"(NOT contains({_DOM}, 'adult') AND NOT starts_with({_DOM}, 'spam.'))"
 _NUM = "TRY_CAST(replace(replace(nullif(regexp_extract(text, '\\$?[0-9,]+(?:\\.[0-9]+)?'), ''), '$', ''), ',', '') AS DOUBLE)"
 _COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
-_DEC = f"""dec AS (SELECT d.doc_id, d.text, CASE WHEN contains(lower(d.text), 'password') OR contains(lower(d.text), 'trash') THEN 0 ELSE ({_COS} + 1) / 2 END AS relevance FROM documents d JOIN embeddings e ON vec_id = doc_id, (SELECT * FROM embeddings WHERE vec_id = 0) q),
-deci AS (SELECT *, CASE WHEN relevance >= 0.6 THEN 'accept' WHEN relevance >= 0.4 THEN 'review' ELSE 'reject' END AS decision FROM dec)"""
+_DEC = f"""dec AS (SELECT d.doc_id, d.text, CASE WHEN contains(lower(d.text), 'password') OR contains(lower(d.text), 'trash') THEN 0 ELSE ({_COS} + 1) / 2 END AS relevance FROM documents d LEFT JOIN embeddings e ON vec_id = doc_id, (SELECT * FROM embeddings WHERE vec_id = 0) q),
+deci AS (SELECT *, CASE WHEN relevance IS NULL THEN 'unscored' WHEN relevance >= 0.6 THEN 'accept' WHEN relevance >= 0.4 THEN 'review' ELSE 'reject' END AS decision FROM dec)"""
 
 
 def _topics(joint: str) -> str:
@@ -301,7 +442,9 @@ def _topics(joint: str) -> str:
     return f"coalesce(array_to_string(list_filter([{each}], lambda x: x IS NOT NULL)[:5], '{joint}'), '')"
 
 
-_TOPK = f"topk AS (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank, e.label, q.label AS want FROM embeddings e, embeddings q WHERE q.vec_id < 5 QUALIFY rank <= 10)"
+_RANK = f"row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS}, 12) DESC, e.vec_id)"
+_TOPK = f"topk AS (SELECT q.vec_id AS query_id, e.vec_id, {_RANK} AS rank, e.label, q.label AS want FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 QUALIFY rank <= 10)"
+_GOLD = "f AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, label = want AS hit, label FROM topk WHERE vec_id <> query_id)"
 _STALE = f"st AS (SELECT event_id AS id, event_type AS source, event_id % 3 = 0 AS known, ts, TIMESTAMP '{AS_OF}' - ts > INTERVAL 30 DAY AS stale FROM events)"
 
 
@@ -312,34 +455,57 @@ def _oracles(sig: str, scores: str, extraction: str, pages_sig: str) -> dict[str
     value = lambda k: f"TRY_CAST(replace({fact(k)}, ',', '') AS DOUBLE)"
     verbs = "['SELECT', 'select a.', 'INSERT INTO', 'WITH x AS (SELECT', 'delete from', 'SELECT ''drop'' FROM', 'SELECT updated FROM', 'EXEC']"
     word = "'\\b(ALTER|CREATE|DELETE|DROP|EXEC|EXECUTE|GRANT|INSERT|REVOKE|TRUNCATE|UPDATE)\\b'"
-    return {
-        "p06_rules": f"""SELECT doc_id, coalesce(array_to_string([CASE WHEN a THEN 'RULE_HAS_NUMBER' END, CASE WHEN b THEN 'RULE_MENTIONS_THE' END, CASE WHEN c THEN 'RULE_NUMBER_RANGE' END, CASE WHEN e THEN 'RULE_CHARS_RANGE' END, 'RULE_HAS_TITLE'], ','), '') AS codes,
+    p06 = f"""SELECT doc_id, coalesce(array_to_string([CASE WHEN a THEN 'RULE_HAS_NUMBER' END, CASE WHEN b THEN 'RULE_MENTIONS_THE' END, CASE WHEN c THEN 'RULE_NUMBER_RANGE' END, CASE WHEN e THEN 'RULE_CHARS_RANGE' END, 'RULE_HAS_TITLE'], ','), '') AS codes,
   NOT (b OR e) AS rules_passed, round(greatest(0, 1 - 0.1 * (a::INT + b::INT + c::INT + e::INT + 1)), 6)::DOUBLE AS rules_score
-FROM (SELECT doc_id, NOT regexp_matches(text, '[0-9]') AS a, NOT regexp_matches(text, '(?i)(^|[^a-z])the([^a-z]|$)') AS b, coalesce({_NUM} < 10 OR {_NUM} > 1000, false) AS c, n_chars < 100 OR n_chars > 20000 AS e FROM documents)""",
+FROM (SELECT doc_id, NOT regexp_matches(text, '[0-9]') AS a, NOT regexp_matches(text, '(?i)(^|[^a-z])the([^a-z]|$)') AS b, coalesce({_NUM} < 10 OR {_NUM} > 1000, false) AS c, n_chars < 100 OR n_chars > 20000 AS e FROM documents)"""
+    r01 = f"SELECT page_id, {_DOM} AS domain, {_FIRST.format(1, 2, 4, 5, 3)} AS tier, {_FIRST.format(30, 60, 10, 7, 90)} AS days, {_FIRST.format(*(chr(39) + x + chr(39) for x in ('org', 'web', 'mobile', 'blog', '')))} AS name, {_OK} AS allowed, {_OK} AND {_FIRST.format('true', 'true', 'true', 'true', 'false')} AS trusted FROM pages"
+    return {
+        "p06_rules": p06,
         "p07_facts": f"""SELECT conv_id, turn, CAST(({fact('the')} IS NOT NULL) AS BIGINT) + CAST(({fact('total')} IS NOT NULL) AS BIGINT) AS facts_checked,
   coalesce(array_to_string([CASE WHEN {fact('the')} IS NOT NULL AND coalesce(abs({value('the')} - 20) > 5, true) THEN 'the' END, CASE WHEN {fact('total')} IS NOT NULL AND coalesce(abs({value('total')} - 7) > 0, true) THEN 'total' END], ','), '') AS mismatches FROM conversations WHERE role = 'assistant'""",
-        "r01_authority": f"SELECT page_id, {_DOM} AS domain, {_FIRST.format(1, 2, 4, 5, 3)} AS tier, {_FIRST.format(30, 60, 10, 7, 90)} AS days, {_FIRST.format(*(chr(39) + x + chr(39) for x in ('org', 'web', 'mobile', 'blog', '')))} AS name, {_OK} AS allowed, {_OK} AND {_FIRST.format('true', 'true', 'true', 'true', 'false')} AS trusted FROM pages",
+        "r01_authority": r01,
         "t25_page_chunks": f"WITH sig AS ({pages_sig}), x AS (SELECT page_id, 0.4 * extraction_score + 0.3 * CASE WHEN length(s) < 50 THEN 0.3 ELSE 1 END + 0.3 * (1 - short_lines) AS overall FROM ({extraction})) SELECT page_id, {_FIRST.format(1, 2, 4, 5, 3)} AS authority_tier, {_FIRST.format(*(chr(39) + x + chr(39) for x in ('org', 'web', 'mobile', 'blog', '')))} AS source_name FROM x JOIN pages USING (page_id) WHERE overall >= 0.6",
         "p09_irrelevant": "SELECT doc_id FROM documents WHERE contains(lower(text), 'password') OR contains(lower(text), 'trash')",
         "p10_topics": f"SELECT doc_id, {_topics('|')} AS topics FROM documents",
         "p11_relevance": f"WITH {_DEC} SELECT doc_id, round(relevance, 6) AS relevance, decision FROM deci",
-        "p12_enriched": f"""WITH {_DEC} SELECT doc_id, '{{"intent":"demo","matched_topics":"' || {_topics(',')} || '"}}' AS metadata FROM deci WHERE decision = 'accept'""",
-        "a09_relevance_report": f"WITH {_DEC} SELECT count(*) AS total, count(*) FILTER (decision = 'accept') AS accepted, count(*) FILTER (decision = 'review') AS reviewed, count(*) FILTER (decision = 'reject') AS rejected, round(avg(relevance), 6) AS avg_relevance, round(avg((decision = 'accept')::INT), 6) AS acceptance_rate, round(avg((decision = 'reject')::INT), 6) AS rejection_rate FROM deci",
-        "p15_cosine": f"SELECT e.vec_id, round({_COS}, 6) AS similarity FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id = 1) q",
+        "p12_enriched": f"WITH {_DEC} SELECT doc_id, 'yes' AS kept, 'demo' AS intent, {_topics(',')} AS matched_topics, round(relevance, 6) AS relevance_score FROM deci WHERE decision = 'accept'",
+        "a09_relevance_report": f"WITH {_DEC} SELECT count(*) AS total, count(*) FILTER (decision = 'accept') AS accepted, count(*) FILTER (decision = 'review') AS reviewed, count(*) FILTER (decision = 'reject') AS rejected, count(*) FILTER (decision = 'unscored') AS unscored, round(avg(relevance), 6) AS avg_relevance, round(avg((decision = 'accept')::INT), 6) AS acceptance_rate, round(avg((decision = 'reject')::INT), 6) AS rejection_rate FROM deci",
+        "p15_cosine": f"SELECT e.vec_id, round({_COS}, 6) AS similarity FROM embeddings e JOIN embeddings q ON q.vec_id = e.vec_id + 1",
+        "k02_filtered": f"SELECT q.vec_id AS query_id, e.vec_id, CAST({_RANK} AS INT) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.label = 3 QUALIFY rank <= 5",
+        "k11_junit": f"""WITH {_TOPK}, {_GOLD}, h AS (SELECT query_id, coalesce(bool_or(hit) FILTER (rank <= 3), false) AS ok FROM f GROUP BY query_id)
+SELECT query_id, '  <testcase name="' || query_id || '" classname="golden"' || CASE WHEN ok THEN '/>' ELSE '>' || chr(10) || '    <failure message="no &lt;expected&gt; source"/>' || chr(10) || '  </testcase>' END AS xml FROM h""",
+        "p14_embedded": "SELECT doc_id, length(text)::DOUBLE AS x0, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS x1, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS x2 FROM documents",
+        "k04_get_all": "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN lower(c_name) ELSE c_name END AS text, c_mktsegment AS source FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0",
+        "k06_update": "SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN 'new' ELSE c_name END AS text, c_mktsegment AS source FROM customer",
+        "k12_delete_source": "SELECT c_custkey AS id, c_name AS text, c_mktsegment AS source FROM customer WHERE c_mktsegment <> 'BUILDING'",
+        "s07_database_to_store": "SELECT p_partkey || '-' || i AS id, substr(p_name, CAST(i * 10 + 1 AS BIGINT), 10) AS text, 'database' AS source, 1.0::DOUBLE AS quality_score FROM (SELECT *, unnest(range(0, (length(p_name) - 1) // 10 + 1)) AS i FROM part) WHERE regexp_matches(substr(p_name, CAST(i * 10 + 1 AS BIGINT), 10), '\\S')",
+        "s01_chunk_files": "SELECT CAST(doc_id AS VARCHAR) AS id, text, source, lang FROM documents",
+        "s14_paging": "SELECT l_orderkey, l_linenumber FROM (SELECT *, min(l_linenumber) FILTER (l_linenumber <= 5 AND (l_returnflag = 'R' OR l_quantity < 10)) OVER (PARTITION BY l_orderkey) AS stop FROM lineitem) WHERE l_linenumber <= 5 AND l_linenumber <= coalesce(stop, 5)",
+        "s20_nodes": "SELECT doc_id AS id, text, source, lang, 3 AS n FROM documents",
+        "s20_spans": "SELECT doc_id, substr(text, CAST(i * 400 + 1 AS BIGINT), 400) AS text, 'documents' AS source, CAST(i * 400 AS INT) AS start_index, CAST(least(i * 400 + 400, length(text)) AS INT) AS end_index FROM (SELECT doc_id, text, unnest(range(0, (greatest(length(text) - 1, 0)) // 400 + 1)) AS i FROM documents) WHERE regexp_matches(substr(text, CAST(i * 400 + 1 AS BIGINT), 400), '\\S')",
         "k02_top_k": f"WITH {_TOPK} SELECT query_id, vec_id, CAST(rank AS INT) AS rank FROM topk",
         "k12_pseudo_score": f"WITH {_TOPK} SELECT query_id, vec_id, round(greatest(0, 1 - 0.1 * (rank - 1)), 6)::DOUBLE AS pseudo FROM topk",
-        "a10_golden": f"""WITH {_TOPK}, f AS (SELECT query_id, rank - 1 AS rank, label = want AS hit, label FROM topk WHERE vec_id <> query_id),
+        "a10_golden": f"""WITH {_TOPK}, {_GOLD},
 per AS (SELECT query_id, min(rank) FILTER (hit) AS first, {', '.join(f'count(DISTINCT CASE WHEN hit AND rank <= {k} THEN label END) / greatest(count(*) FILTER (rank <= {k}), 1) AS p{k}' for k in (1, 3, 5, 10))} FROM f GROUP BY query_id)
 SELECT count(*) AS questions, round(avg((first IS NOT NULL)::INT), 6) AS pass_rate, round(avg(coalesce(1.0 / first, 0)), 6)::DOUBLE AS mrr, {', '.join(f'round(avg(p{k}), 6) AS precision_at_{k}' for k in (1, 3, 5, 10))} FROM per""",
         "p16_stale": f"WITH {_STALE} SELECT id, known, stale FROM st",
         "a03_staleness_report": f"WITH {_STALE} SELECT count(*) AS total, count(*) FILTER (known AND stale) AS stale, count(*) FILTER (known AND NOT stale) AS fresh, count(*) FILTER (NOT known) AS unknown, count(DISTINCT source) FILTER (known AND stale) AS stale_sources, strftime(min(ts) FILTER (known), '%Y-%m-%d %H:%M:%S') AS oldest, round(avg((known AND stale)::INT), 6) AS staleness_ratio FROM st",
         "a04_stale_sources": f"WITH {_STALE} SELECT DISTINCT source FROM st WHERE known AND stale",
         "a06_coverage": " UNION ALL ".join(f"SELECT '{t}' AS topic, bool_or(contains(lower(text), '{t}')) AS covered FROM documents" for t in TOPICS),
-        "a07_drift": f"{sig} SELECT 0.8::DOUBLE AS baseline, avg(score) >= 0.8 AS improved, round(avg(score), 6) AS current, round(avg(score) - 0.8, 6) AS change, round((avg(score) - 0.8) / 0.8 * 100, 6) AS change_pct FROM ({scores})",
-        "a08_health": f"""{sig}, {_STALE}, c AS ({' UNION ALL '.join(f"SELECT bool_or(contains(lower(text), '{t}')) AS covered FROM documents" for t in TOPICS)}),
-x AS (SELECT (SELECT avg((known AND stale)::INT) FROM st) AS r, (SELECT avg(score) FROM ({scores})) AS q, (SELECT count(*) FROM c WHERE NOT covered) AS m)
-SELECT round(r, 6) AS staleness_ratio, round(q, 6) AS avg_quality, m AS missing_topics, coalesce(array_to_string([CASE WHEN r > 0.3 THEN 'RECRAWL_STALE' END, CASE WHEN m > 0 THEN 'ADD_MISSING_TOPICS' END, CASE WHEN q < 0.6 THEN 'REVIEW_QUALITY' END], ','), '') AS recommendations FROM x""",
-        "a11_intent_pipeline": f"{sig}, {_DEC} SELECT count(*) AS total, count(*) FILTER (passed) AS quality_passed, count(*) FILTER (passed AND decision = 'accept') AS accepted, count(*) FILTER (passed AND decision = 'reject') AS rejected FROM ({scores}) s LEFT JOIN deci USING (doc_id)",
+        "a07_drift": f"{B.BATCH} SELECT 0.8::DOUBLE AS baseline, avg(score) >= 0.8 AS improved, round(avg(score), 6) AS current, round(avg(score) - 0.8, 6) AS change, round((avg(score) - 0.8) / 0.8 * 100, 6) AS change_pct FROM batch",
+        "a08_health": f"""{B.BATCH}, {_STALE}, c AS ({' UNION ALL '.join(f"SELECT '{t}' AS topic, bool_or(contains(lower(text), '{t}')) AS covered FROM documents" for t in TOPICS)}), {_TOPK}, {_GOLD},
+x AS (SELECT (SELECT avg((known AND stale)::INT) FROM st) AS r, (SELECT avg(score) FROM batch) AS q, (SELECT count(*) FROM c WHERE NOT covered) AS m, (SELECT count(DISTINCT r) FROM (SELECT min(a) AS r FROM pairs GROUP BY b)) AS d,
+  (SELECT coalesce(string_agg(topic, '|' ORDER BY topic), '') FROM c WHERE NOT covered) AS names, (SELECT avg(ok::INT) FROM (SELECT bool_or(hit) AS ok FROM f GROUP BY query_id)) AS g)
+SELECT round(r, 6) AS staleness_ratio, round(q, 6) AS avg_quality, d AS duplicate_groups, names AS missing_topics, round(g, 6) AS golden_pass_rate, coalesce(array_to_string(list_filter([CASE WHEN r > 0.3 THEN 'RECRAWL_STALE' END, CASE WHEN d > 0 THEN 'REMOVE_DUPLICATES' END, CASE WHEN m > 0 THEN 'ADD_MISSING_TOPICS' END, CASE WHEN q < 0.6 THEN 'REVIEW_QUALITY' END], lambda v: v IS NOT NULL), ','), '') AS recommendations FROM x""",
+        "a11_intent_pipeline": f"{B.BATCH}, {_DEC} SELECT count(*) AS total, count(*) FILTER (passed) AS quality_passed, {', '.join(f"count(*) FILTER (passed AND decision = '{k}') AS {n}" for k, n in (('accept', 'accepted'), ('review', 'reviewed'), ('reject', 'rejected'), ('unscored', 'unscored')))} FROM batch LEFT JOIN deci USING (doc_id)",
+        "a12_ingest": f"""WITH documents AS (SELECT item_id * 100000 + i AS doc_id, substr(text, CAST(i * 300 + 1 AS BIGINT), 300) AS text FROM (SELECT *, unnest(range(0, (greatest(length(text) - 1, 0)) // 300 + 1)) AS i FROM benchmark) WHERE regexp_matches(substr(text, CAST(i * 300 + 1 AS BIGINT), 300), '\\S')),
+raw AS (SELECT count(*) AS documents, count(*) FILTER (NOT acceptable) AS bad_extraction FROM (WITH sig AS ({signals_sql.signals('benchmark', 'text', 'item_id')}) {signals_sql.extraction_scores()})),
+{B.BATCH[5:]} SELECT any_value(documents) AS documents, any_value(bad_extraction) AS bad_extraction, count(*) AS created, count(*) FILTER (passed) AS loaded, count(*) FILTER (NOT passed) AS rejected, round(avg(score), 6) AS avg_score, count(*) FILTER (passed) AS stored FROM batch, raw""",
+        "p08_rules_from_yaml": p06,
+        "r05_registry_from_yaml": r01,
+        "p07_responses": f"""SELECT conv_id, turn, NOT (bad OR b OR e) AS response_passed, array_to_string(list_filter([CASE WHEN a THEN 'RULE_HAS_NUMBER' END, CASE WHEN b THEN 'RULE_MENTIONS_THE' END, CASE WHEN c THEN 'RULE_NUMBER_RANGE' END, CASE WHEN e THEN 'RULE_CHARS_RANGE' END, 'RULE_HAS_TITLE'], lambda v: v IS NOT NULL), ',') AS codes
+FROM (SELECT conv_id, turn, NOT regexp_matches(text, '[0-9]') AS a, NOT regexp_matches(text, '(?i)(^|[^a-z])the([^a-z]|$)') AS b, coalesce({_NUM} < 10 OR {_NUM} > 1000, false) AS c, coalesce({_NUM} < 100 OR {_NUM} > 20000, false) AS e,
+  {fact('the')} IS NOT NULL AND coalesce(abs({value('the')} - 20) > 5, true) OR {fact('total')} IS NOT NULL AND coalesce(abs({value('total')} - 7) > 0, true) AS bad FROM conversations WHERE role = 'assistant')""",
         "k01_upsert": "SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN c_name || ' (new)' ELSE c_name END AS text, c_acctbal AS quality_score FROM customer",
         "k03_delete": "SELECT o_orderkey AS id, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'",
         "k05_stats": "SELECT count(*) AS count, max(len(embedding))::INT AS dimension FROM embeddings",
@@ -356,8 +522,8 @@ SELECT round(r, 6) AS staleness_ratio, round(q, 6) AS avg_quality, m AS missing_
         "s11_feed": "SELECT 'http://f/' || item_id AS source, 't' || item_id AS title, '2024-01-05T10:00:00' AS published, CAST(length(trim(text)) AS INT) AS n FROM benchmark",
         "s15_responses": "SELECT event_id, CASE WHEN event_type = 'error' THEN 0.0 WHEN event_id % 5 = 0 THEN 0.5 WHEN event_id % 7 = 0 THEN 0.3 ELSE 1.0 END::DOUBLE AS score, CASE WHEN event_type = 'error' THEN 'HTTP_ERROR' WHEN event_id % 5 = 0 THEN 'EMPTY_RESPONSE' WHEN event_id % 7 = 0 THEN 'API_ERROR' END AS code FROM events",
         "s17_pdf_pages": f"SELECT doc_id, round({pdf}, 6)::DOUBLE AS score FROM documents",
-        "s19_pdf_issues": f"SELECT source, count(*) FILTER (length(text) < 50) AS scanned_pages, count(*) FILTER ({pdf} < 0.5) AS low_pages, sum(length(text)) < 50 AS insufficient, round(avg({pdf}), 6) AS avg_score FROM documents GROUP BY source",
+        "s19_pdf_issues": f"SELECT source, scanned_pages, low_pages, avg_score, array_to_string(list_filter([CASE WHEN scanned_pages > 0 THEN 'SCANNED_PAGES' END, CASE WHEN low_pages > 0 THEN 'LOW_QUALITY_PAGES' END, CASE WHEN n < 50 THEN 'INSUFFICIENT_CONTENT' END], lambda v: v IS NOT NULL), ',') AS codes FROM (SELECT source, count(*) FILTER (length(text) < 50) AS scanned_pages, count(*) FILTER ({pdf} < 0.5) AS low_pages, sum(length(text)) AS n, round(avg({pdf}), 6) AS avg_score FROM documents GROUP BY source)",
         "s18_table_score": "SELECT n_regionkey, round(1 - count(*) FILTER (n_nationkey % 2 = 0) / (3 * count(*)), 6) AS score FROM nation GROUP BY n_regionkey",
         "s21_first_urls": "SELECT regexp_replace(url, '[?#].*$', '') AS link, min(page_id) AS page_id FROM pages GROUP BY 1",
-        "s22_fenced_json": "SELECT event_id, CAST(json_extract(props, '$.n') AS BIGINT) AS n FROM events",
+        "s22_fenced_json": "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 5 = 0 THEN 'invalid JSON' END AS error FROM events",
     }

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from ..functions.text import BOILERPLATE, COMMON, STOP_WORDS
+# stated apart from the functions', so that a wrong one shows
+STOP_WORDS = (
+    "you would why with will who which where when what were we was very too to those this they these there the that than such so some "
+    "should she shall same own other or only on of now not nor no need must most more might may just its it is in i how here he have has had "
+    "from for few every each does do did could can by but both been be at as are and an also all a"
+).split()
+BOILERPLATE = ["copyright", "all rights reserved", "terms of service", "privacy policy", "cookie", "subscribe", "newsletter", "follow us", "share this"]
+COMMON = {"de": "mit den zu ein nicht ist das und die der", "en": "it for was that is in to and of the", "es": "que para con por una en y las los el", "fr": "pour que dans une est des et les la le"}
 
 STRIP = lambda c: f"regexp_replace({c}, '^[\\s\\x{{85}}\\p{{Z}}\\x{{1c}}-\\x{{1f}}\\v]+|[\\s\\x{{85}}\\p{{Z}}\\x{{1c}}-\\x{{1f}}\\v]+$', '', 'g')"
 RUNS = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+')"

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
+from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +46,40 @@ def run_sql(spark: SparkSession, sql: str, args: dict | None = None, max_rows: i
     return df if max_rows is None else df.limit(max_rows)
 
 
+_DRIVERS = {"postgresql": "postgresql", "postgres": "postgresql", "mysql": "mysql", "mariadb": "mariadb", "sqlite": "sqlite"}
+
+
+def jdbc_url(dsn: str) -> tuple[str, dict[str, str]]:
+    """A database address as Spark's JDBC source takes it, user and password apart; what is no known address stays as it is."""
+    u = urlsplit(dsn)
+    if u.scheme not in _DRIVERS:
+        return dsn, {}
+    if u.scheme == "sqlite":
+        return f"jdbc:sqlite:{u.path[1:]}", {}
+    host = f"{u.hostname or 'localhost'}:{u.port}" if u.port else u.hostname or "localhost"
+    login = {k: unquote(v) for k, v in (("user", u.username), ("password", u.password)) if v is not None}
+    return f"jdbc:{_DRIVERS[u.scheme]}://{host}{u.path}" + (f"?{u.query}" if u.query else ""), login
+
+
+def read_database(spark: SparkSession, dsn: str, sql: str, max_rows: int | None = None, **options: str) -> DataFrame:
+    """A reading statement on a database; options such as partitionColumn, numPartitions and bounds split it over tasks."""
+    if spark.range(1).select(writes(F.lit(sql))).first()[0]:
+        raise ValueError("only reading statements are allowed")
+    url, login = jdbc_url(dsn)
+    df = spark.read.format("jdbc").options(url=url, dbtable=f"({sql}) AS q", **login, **options).load()
+    return df if max_rows is None else df.limit(max_rows)
+
+
+def pages_read(pages: DataFrame, url: str, page: str, success: Column, items: Column, page_size: int = 100, max_pages: int = 100) -> DataFrame:
+    """Of numbered pages of each address, those that a reader gets: up to the first that fails, is no list (null items) or is short, and no more than max_pages.
+
+    The last page counts as read. One aggregate by address, joined back; pages after a gap in the numbers aren't reached."""
+    stop = ~F.coalesce(success, F.lit(False)) | F.coalesce(items < page_size, F.lit(True))
+    last = pages.filter(F.col(page) <= max_pages).groupBy(url).agg(F.min(F.when(stop, F.col(page))).alias("_stop"))
+    got = pages.join(last, url).filter((F.col(page) <= max_pages) & (F.col(page) <= F.coalesce("_stop", F.lit(max_pages))))
+    return got.drop("_stop")
+
+
 def rows_to_chunks(df: DataFrame, text: str, metadata: list[str], size: int = 500, source: str = "database") -> DataFrame:
     """Rows as chunks of fixed width without overlap; a null text is the string None, blank ones go, chunk_index only where a row was cut."""
     whole = df.withColumn("_t", F.coalesce(F.col(text).cast("string"), F.lit("None"))).filter(F.col("_t").rlike("(?U)\\S"))
@@ -54,7 +89,7 @@ def rows_to_chunks(df: DataFrame, text: str, metadata: list[str], size: int = 50
 
 
 class _Text(HTMLParser):
-    """Visible text, a line each node; the title apart."""
+    """Visible text, a line each node; the title apart. An element that is left out and never closed ends with the page, as for a parser that builds a tree."""
 
     SKIP = {"script", "style", "nav", "footer", "header"}
 
@@ -202,6 +237,12 @@ def fenced_json(answer: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(answer), "^```[A-Za-z]*\\s*|\\s*```$", ""))
 
 
+def json_or_error(answer: Column) -> Column:
+    """The JSON of a model's answer, or an object with the error and the answer."""
+    found = fenced_json(answer)
+    return F.when(F.get_json_object(found, "$").isNotNull(), found).otherwise(F.to_json(F.struct(F.lit("invalid JSON").alias("error"), answer.alias("raw"))))
+
+
 def table_score(cells: Column) -> Column:
     """1 - share of empty cells of an array of rows; 0 without any cell."""
     flat = F.flatten(cells)

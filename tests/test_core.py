@@ -1,16 +1,22 @@
 from __future__ import annotations
 
+import json
 import math
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell import cli, cluster
 from siftwell.functions import text as T
 from siftwell.operators import chunk_score as C
 from siftwell.operators import chunkers as S
+from siftwell.operators import config as G2
 from siftwell.operators import duplicates as D
+from siftwell.operators import export as E
 from siftwell.operators import health as H
+from siftwell.operators import ingest as I
 from siftwell.operators import registry as R
 from siftwell.operators import relevance as V
 from siftwell.operators import rules as L
@@ -80,9 +86,25 @@ def test_near_pairs_brute(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
     sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in enumerate(texts) if (w := (t or "").split())}
     want = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b and x and y and len(x & y) / len(x | y) >= 0.6}
-    got = {(r.a, r.b): r.similarity for r in D.near_pairs(D.item_sets(df, D.shingles(F.col("text"))), 0.6).collect()}
-    assert got == pytest.approx(want)
-    assert {r.id: r.representative for r in D.groups(D.near_pairs(D.item_sets(df, D.shingles(F.col("text"))), 0.6)).collect()}[2] == 0
+    found = {r.id: r for r in D.near(D.item_sets(df, D.shingles(F.col("text"))), 0.6).collect()}
+    assert set(found) == {i for p in want for i in p}
+    for i, r in found.items():
+        mine = {(b if a == i else a): j for (a, b), j in want.items() if i in (a, b)}
+        before = {k: j for k, j in mine.items() if k < i}
+        assert r.links == len({frozenset(sets[k]) for k, j in mine.items() if j < 1}) and r.copies == sum(j == 1 for j in mine.values())
+        assert r.class_id == min([i, *(k for k, j in mine.items() if j == 1)]) and r.best == pytest.approx(max(mine.values()))
+        assert r.representative == min(before, default=None) and r.duplicate == (pytest.approx(1 - max(before.values())) if before else None)
+
+
+def test_duplicate_index(spark, tmp_path):
+    index = D.Index(K.Store(spark, f"file://{tmp_path}/index"), 0.6)
+    one = spark.createDataFrame([(1, "a b c d e f"), (2, "q r s t u")], "id long, text string")
+    assert index.find(one).count() == 0
+    index.add(one)
+    new = spark.createDataFrame([(3, "a b c d e f g"), (4, "x y z"), (2, "q r s t u")], "id long, text string")
+    assert [(r.id, r.representative) for r in index.find(new).collect()] == [(3, 1)]
+    index.clear()
+    assert index.find(new).count() == 0
 
 
 def test_rules_and_facts(spark):
@@ -172,6 +194,7 @@ def test_batches_check_duplicates(spark, tmp_path):
     docs = [(1, text), (2, text), (3, "A quite different sentence tells of bread, butter, salt and how long a kitchen fire burns.")]
     spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "x", "2024-02-14 00:00:00", 1.0)], "event_id long, event_type string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [1.0, 0.1], 1)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     sf = str(tmp_path)
     lone = C.report(C.validate(C.chunks(spark.read.parquet(f"{sf}/documents.parquet")))).first()
     assert {r.code: r.n for r in B.a02_issue_histogram(spark, sf).collect()}["NEAR_DUPLICATE"] == 1
@@ -180,3 +203,103 @@ def test_batches_check_duplicates(spark, tmp_path):
     for score in (batch.avg_score, health.avg_quality, drift.current):
         assert score == pytest.approx(lone.avg_score - 0.25 / 3, abs=2e-6)
     assert "REMOVE_DUPLICATES" in health.recommendations.split(",")
+
+
+def test_stripped_takes_linear_time(spark):
+    df = spark.createDataFrame([("a" + " " * 400_000 + "b",), (" \n x \u00a0",), ("   ",)], "t string")
+    began = time.time()
+    assert [len(r[0]) for r in df.select(T.stripped(F.col("t"))).collect()] == [400_002, 1, 0]
+    assert time.time() - began < 10
+
+
+def test_validate_extracts_words_twice(spark):
+    plan = C.validate(chunk(spark, "x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 2
+
+
+def test_config(tmp_path):
+    rules = G2.RuleSet.from_dict({"rules": [{"name": "a", "pattern": "x", "field": "required"}, {"type": "numeric", "condition": {"min": 1, "max": 2}, "enabled": False}], "known_facts": [{"key": "k", "value": 1}, {"key": "k", "value": 2, "tolerance": 3}]})
+    assert [r.name for r in rules.rules] == ["a", "unnamed"] and rules.rules[1].high == 2 and not rules.rules[1].enabled and rules.facts["k"].value == 2
+    (tmp_path / "r.yaml").write_text(rules.to_yaml())
+    again = G2.RuleSet.from_yaml(tmp_path / "r.yaml")
+    assert again.rules == rules.rules and again.facts == rules.facts
+    reg = G2.Registry.from_dict({"sources": [{"domain": "*.gov.zw", "authority": 1}, {"pattern": "m\\.", "is_regex": True}], "blocked": ["spam.*"]})
+    reg.add_source("x.org")
+    reg.block_domain("spam.*")
+    (tmp_path / "s.yaml").write_text(reg.to_yaml())
+    assert G2.Registry.from_yaml(tmp_path / "s.yaml") == reg and len(reg.blocked) == 1 and reg.sources[2].name == "x.org"
+    i = G2.intent_from_dict({"system": {"name": "n", "relevant_topics": ["t"], "geographic_focus": "Here", "quality_requirements": {"min_relevance_score": 0.7}}})
+    assert (i.name, i.place, i.accept, i.review) == ("n", "Here", 0.7, 0.4) and G2.intent_from_dict(G2.intent_to_dict(i)) == i
+    with pytest.raises(FileNotFoundError):
+        G2.Registry.from_yaml(tmp_path / "none.yaml")
+    (tmp_path / "b.yaml").write_text("a: [")
+    with pytest.raises(ValueError):
+        G2.RuleSet.from_yaml(tmp_path / "b.yaml")
+
+
+def test_ingest_and_cli(spark, tmp_path):
+    good = "The committee met on Monday and agreed to publish the yearly report of the northern river survey."
+    docs = spark.createDataFrame([(1, good + " " + good.replace("river", "lake"), "a"), (2, "", "b"), (3, None, "b"), (4, good, "c")], "doc_id long, text string, source string")
+    store = K.Store(spark, f"file://{tmp_path}/store")
+    r = I.ingest_texts(docs, store).first()
+    assert (r.documents, r.bad_extraction, r.created, r.loaded, r.rejected) == (4, 2, 2, 2, 0) and store.get_all().count() == 2
+    assert I.ingest_texts(docs.limit(0), store).first().created == 0 and store.get_all().count() == 2
+    assert I.ingest_chunks(chunk(spark, "x"), K.Store(spark, f"file://{tmp_path}/raw"), validate=False).first().loaded == 1
+    h = cli.health(spark, f"file://{tmp_path}/store", "2024-01-01 00:00:00", ["river", "ocean"]).first()
+    assert h.missing_topics == ["ocean"] and h.duplicate_groups == 0 and h.golden_pass_rate is None and h.recommendations == ["ADD_MISSING_TOPICS"]
+    (tmp_path / "c.json").write_text(json.dumps([{"id": "1", "text": good, "source": "s", "metadata": {"a": "b"}}, {"id": "2", "text": ""}]))
+    v = cli.validate(spark, f"file://{tmp_path}/c.json", output=f"file://{tmp_path}/out").first()
+    assert (v.total, v.passed, v.failed) == (2, 1, 1) and spark.read.json(f"file://{tmp_path}/out").count() == 2
+    assert cli.validate(spark, f"file://{tmp_path}/c.json", threshold=0.99).first().passed == 0
+
+
+def test_adapters_and_reading(spark, tmp_path):
+    n = spark.createDataFrame([("i", "t", {"file_path": "p", "k": "v"}), ("j", None, {"source": "s", "file_path": "p"})], "node_id string, text string, metadata map<string,string>")
+    assert [tuple(r) for r in K.from_nodes(n).orderBy("id").collect()] == [("i", "t", "p", {"k": "v"}), ("j", "", "s", {})]
+    s = spark.createDataFrame([("t", 0, None)], "text string, start_index int, token_count int")
+    assert tuple(K.from_spans(s, "x").first()) == ("t", "x", {"start_index": "0"})
+    assert G.jdbc_url("postgresql://u:p%40@h:5/d") == ("jdbc:postgresql://h:5/d", {"user": "u", "password": "p@"}) and G.jdbc_url("sqlite:///a.db")[0] == "jdbc:sqlite:a.db" and G.jdbc_url("jdbc:x") == ("jdbc:x", {})
+    p = spark.createDataFrame([("u", 1, 10, True), ("u", 2, 3, True), ("u", 3, 10, True), ("v", 1, None, True), ("w", 1, 10, True), ("w", 2, 10, False), ("w", 3, 10, True)], "url string, page int, n int, ok boolean")
+    assert sorted((r.url, r.page) for r in G.pages_read(p, "url", "page", F.col("ok"), F.col("n"), 10).collect()) == [("u", 1), ("u", 2), ("v", 1), ("w", 1), ("w", 2)]
+    a = spark.createDataFrame([('```json\n{"k": 1}\n```',), ("no",), (None,)], "t string")
+    got = [r[0] for r in a.select(G.json_or_error(F.col("t"))).collect()]
+    assert json.loads(got[0]) == {"k": 1} and json.loads(got[1])["raw"] == "no" and "error" in json.loads(got[2])
+    E.write_junit(spark.createDataFrame([(1, True, None), (2, False, "a < b")], "query_id int, passed boolean, reason string"), f"file://{tmp_path}/j")
+    import xml.etree.ElementTree as ET
+
+    root = ET.fromstring("\n".join(r[0] for r in spark.read.text(f"file://{tmp_path}/j").collect()).encode())
+    assert root.get("failures") == "1" and [c.get("name") for c in root] == ["1", "2"] and root[1][0].get("message") == "a < b"
+    atom = G.feed_items("<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>t</title><link href='l'/><summary>s</summary><updated>2024-01-05T10:00:00Z</updated><category term='c'/></entry></feed>")[0]
+    assert atom[:3] == ("t", "l", "s") and atom[3].day == 5 and atom[5] == ["c"]
+    assert G.html_text("<p>a</p><nav>menu<p>b</p>") == ("", "a")
+
+
+def test_embedding_hook(spark):
+    df = spark.createDataFrame([(i, "x" * i if i else None) for i in range(70)], "id long, text string")
+    got = {r.id: r.embedding for r in V.embedded(df, lambda: lambda texts: [[len(t), len(texts)] for t in texts], batch=8).collect()}
+    assert all(v[0] == i and v[1] <= 8 for i, v in got.items()) and len(got) == 70
+
+
+def test_top_k_brute(spark):
+    import numpy as np
+
+    rng = np.random.RandomState(0)
+    m = rng.randint(-2, 3, (60, 5)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(99, None)], "vec_id long, embedding array<double>")
+    q = df.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    norm = np.linalg.norm(m, axis=1)
+    cos = np.round(np.divide(m @ m.T, np.outer(norm, norm), out=np.zeros((60, 60)), where=np.outer(norm, norm) > 0), 12)
+    want = {i: [j for _, j in sorted((-cos[i, j], j) for j in range(60))][:7] for i in (0, 20, 40)}
+    got = {}
+    for r in V.top_k(df, q, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == want and V.top_k(df.limit(0), q, 3).count() == 0
+
+
+def test_shared_folder_is_asked_for_on_clusters(spark):
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: None)})
+        sparkContext = type("S", (), {"master": "yarn", "getConf": staticmethod(lambda: {})})
+
+    with pytest.raises(ValueError):
+        cluster.shared_folder(Session)
