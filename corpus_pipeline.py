@@ -1,6 +1,11 @@
 """The corpus pipeline: documents pass five stages, each written as Parquet and read again as the next one's input.
 
-Rows of run(): (doc_id, n_tokens, token_ids, round_trip) of each document that the first four stages keep."""
+Rows of run(): (doc_id, n_tokens, token_ids, round_trip) of each document that the first four stages keep.
+
+Defined cases, for every stage: an empty table gives an empty result; columns besides those of documents go along, whatever
+their names, up to the last stage; a null doc_id is kept and never has a near copy; null and empty texts have no near copies,
+no secrets and no tokens; of rows with the same doc_id and text one stays; of a group of near copies the least doc_id stays,
+then the least hash of its text; rows that share a doc_id go through the mix together."""
 
 from __future__ import annotations
 
@@ -13,12 +18,12 @@ from siftwell.llm.spark_io import shared_folder, spread, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents outside their language's and source's bounds go."""
+    """Operator 9: documents outside their language's and source's bounds go; null languages and sources are groups of their own."""
     return quality.quality_filter(spread(docs))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: one document of each group of near copies stays."""
+    """Operator 10: one document of each connected group of near copies stays, the one of the least doc_id."""
     return near_copies.near_filter(docs)
 
 
@@ -49,7 +54,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each stage keeps is written to the shared folder."""
+    """All stages over documents; what each stage keeps is written to the shared folder, and read from there until the next one is.
+
+    The last such table stays, as the result reads it: remove pipeline-* from the folder when the result has been written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
