@@ -3,8 +3,8 @@
 Rows of run(): (doc_id, n_tokens, token_ids, round_trip) of each document that the first four stages keep.
 
 Defined cases, for every stage: an empty table gives an empty result; columns besides those of documents go along, whatever
-their names, up to the last stage; a null doc_id is kept and never has a near copy; null and empty texts have no near copies,
-no secrets and no tokens; of rows with the same doc_id and text one stays; of a group of near copies the least doc_id stays,
+their names, up to the last stage; a null doc_id is kept and never has a near copy; null and empty texts go in the first stage (given
+to another one alone they have no near copies, no secrets and no tokens); of rows with the same doc_id and text one stays; of a group of near copies the least doc_id stays,
 then the least hash of its text; rows that share a doc_id go through the mix together."""
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from siftwell.llm.spark_io import shared_folder, spread, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents outside their language's and source's bounds go; null languages and sources are groups of their own."""
+    """Operator 9: documents outside their language's and source's bounds go; a null language or source counts as '', null and empty texts go."""
     return quality.quality_filter(spread(docs))
 
 
