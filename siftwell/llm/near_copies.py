@@ -8,11 +8,12 @@ into fragments of equal range; each fragment counts its part of every overlap al
    how many. These partial counts are summed per text: one that shares fewer than T of its grams with any other text can't
    have a partner and is dropped, exactly.
 2. Texts of equal gram sets are one class from here on. Classes are linked where they share a gram of their prefix (rarest
-   first, the fewest that no partner can miss) and their sizes allow it. Every pair of the result lies inside one connected
-   part.
-3. Inside a connected part, pieces of the gram order count the overlap of every pair of classes separately; the sums per pair
-   decide on it. A part beyond BLOCK classes or PIECE grams is dealt out by blocks of like size and by pieces, so no case is
-   left out and no task holds a whole part.
+   first, the fewest that no partner can miss) after which both hold grams enough for the overlap that their sizes ask for.
+   Every pair of the result lies inside one connected part.
+3. Inside a connected part every pair of classes is counted. A part beyond BLOCK classes or PIECE grams is dealt out by blocks
+   of like size, so no case is left out and no task holds a whole part. What is sent on is a sum for each class, not the
+   pairs, whose number grows as the square of a group. Where a text alone is beyond a piece, pieces of the gram order count
+   separately, and the sums per pair decide.
 
 The result has one row a document, so copies aren't expanded into pairs; no link between different texts is lost.
 
@@ -38,8 +39,9 @@ from .textvec import SPACE, classes, code_points, mix, ragged, span_hashes, word
 
 #: Production parameters: words in a gram and the least Jaccard similarity of a pair.
 N, T = 3, 0.5
-#: Physical sizes, without influence on results: input bytes for each fragment, grams held by a task before it sends them, classes in a block, grams in a piece, chars worked on at once.
-FRAGMENT_BYTES, HELD_GRAMS, BLOCK, PIECE, SLICE = 16 << 20, 2_000_000, 1024, 2_000_000, 600_000
+#: Physical sizes, without influence on results: input bytes for each fragment, grams held by a task before it sends them, classes in a block, grams in a block or piece, chars worked on at once,
+#: classes compared at once, texts up to which a gram's pairs are counted one by one, bytes of grams that are dealt at once.
+FRAGMENT_BYTES, HELD_GRAMS, BLOCK, PIECE, SLICE, TILE, FEW, SENT = 16 << 20, 2_000_000, 4096, 1_000_000, 600_000, 1024, 32, 8 << 20
 _EPS = 1e-9
 
 
@@ -237,34 +239,45 @@ def survivors(shared: DataFrame, t: float) -> DataFrame:
 
 
 def _prefix_links(leads: DataFrame, t: float) -> DataFrame:
-    """(a, b): classes that share a gram of their prefix, by steps that each keep the size ratio.
+    """(a, b): links that connect all classes whose grams let them be partners.
 
-    Sorted by size, two classes of a possible pair are joined by such steps. Within a task, classes of the same size that share
-    a gram are linked to the first of them, which alone stands for them outside: so a gram that very many have is sent once a
-    task and size."""
+    At the first gram that two classes share, in the common order, either still holds the whole overlap: it is at most the
+    grams that are left to each. So a class of that size with so many grams left has a reach, the largest partner that it
+    can have there, and two classes may be partners where neither's size is beyond the other's reach. Classes that reach
+    their own size are intervals from size to reach, connected where these overlap; any other may only be the larger one of
+    a pair, with an interval that begins within its reach and ends at its size or later. One sweep by gram that links each
+    class to the interval that reaches furthest connects just these, with one link a class and gram, however many have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
-            node, size, gram = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((node, size, gram))
-            node, size, gram = node[order], size[order], gram[order]
-            new = np.append(True, (gram[1:] != gram[:-1]) | (size[1:] != size[:-1]))
-            lead = node[np.flatnonzero(new)][np.cumsum(new) - 1]
-            linked = np.unique(np.stack([lead, node], 1)[lead != node], axis=0)
-            none = pa.nulls(len(linked), pa.int64())
-            first = [pa.array(np.ascontiguousarray(linked[:, 0])), pa.array(np.ascontiguousarray(linked[:, 1])), none, pa.nulls(len(linked), pa.int32())]
-            k = int(new.sum())
-            rest = [pa.array(node[new]), pa.nulls(k, pa.int64()), pa.array(gram[new]), pa.array(size[new].astype(np.int32))]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(first, rest, strict=True)], ["a", "b", "gram", "size"])
+            """The sweep within the task; only what isn't covered by an interval that is sent goes on to the one over all tasks."""
+            node, size, gram, reach = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((node, -reach, reach < size, np.minimum(size, reach), gram))
+            node, size, gram, reach = (x[order] for x in (node, size, gram, reach))
+            new = np.append(True, gram[1:] != gram[:-1])
+            key = np.cumsum(new) << 32 | np.where(reach >= size, reach, 0)
+            most = np.maximum.accumulate(key)
+            lead = np.maximum.accumulate(np.where((key & 0xFFFFFFFF > 0) & np.append(True, key[1:] > most[:-1]), np.arange(len(key)), 0))
+            before, best = np.append(0, lead[:-1]), np.where(new, 0, np.append(0, most[:-1]) & 0xFFFFFFFF)
+            linked = best >= size
+            links = np.unique(np.stack([node[before[linked]], node[linked]], 1), axis=0)
+            none = pa.nulls(len(links), pa.int64())
+            first = [pa.array(np.ascontiguousarray(links[:, 0])), pa.array(np.ascontiguousarray(links[:, 1])), none, *[pa.nulls(len(links), pa.int32())] * 2]
+            on = np.where(reach < size, ~linked, best < reach)
+            rest = [pa.array(node[on]), pa.nulls(int(on.sum()), pa.int64()), pa.array(gram[on]), pa.array(size[on].astype(np.int32)), pa.array(reach[on].astype(np.int32))]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(first, rest, strict=True)], ["a", "b", "gram", "size", "reach"])
 
         for batch in batches:
-            nodes, sizes, prefix = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
+            nodes, sizes, left, prefix = (batch.column(i).to_numpy().astype(np.int64) for i in range(4))
             if not len(nodes):
                 continue
-            held.append((np.repeat(nodes, prefix), np.repeat(sizes, prefix), np.concatenate([np.frombuffer(g.as_buffer(), np.int64)[:k] for g, k in zip(batch.column(3), prefix, strict=True)])))
+            left = np.repeat(left, prefix) - ragged(np.zeros(len(prefix), np.int64), prefix)
+            sizes = np.repeat(sizes, prefix)
+            reach = np.minimum(np.floor(left * (1 + t) / t + 1e-6).astype(np.int64) - sizes, (1 << 31) - 1)
+            held.append((np.repeat(nodes, prefix), sizes, np.concatenate([np.frombuffer(g.as_buffer(), np.int64)[:k] for g, k in zip(batch.column(4), prefix, strict=True)]), reach))
             total += int(prefix.sum())
             if total > HELD_GRAMS:
                 yield flush()
@@ -272,38 +285,74 @@ def _prefix_links(leads: DataFrame, t: float) -> DataFrame:
         if held:
             yield flush()
 
-    got = leads.select("node", "size", "prefix", "grams").mapInArrow(run, "a long, b long, gram long, size int")
-    w = Window.partitionBy("gram").orderBy("size", "a")
+    got = leads.select("node", "size", "held", "prefix", "grams").mapInArrow(run, "a long, b long, gram long, size int, reach int")
+    w = Window.partitionBy("gram").orderBy(F.least("size", "reach"), F.col("reach") < F.col("size"), F.desc("reach"), "a").rowsBetween(Window.unboundedPreceding, -1)
     # a row without a gram is a link already; it is dealt by its own ends
     key = F.coalesce("gram", F.xxhash64("a", "b"))
-    before = F.when(F.col("b").isNotNull(), F.col("b")).when(F.lag("b").over(w).isNull() & (F.lag("size").over(w) >= F.col("size") * t - _EPS), F.lag("a").over(w))
-    return got.withColumn("gram", key).select("a", before.alias("b")).filter("b is not null").distinct()
+    furthest = F.max(F.when(F.col("b").isNull() & (F.col("reach") >= F.col("size")), F.struct("reach", "a"))).over(w)
+    swept = got.withColumn("gram", key).withColumn("furthest", furthest)
+    return swept.select("a", F.coalesce("b", F.when(F.col("furthest.reach") >= F.col("size"), F.col("furthest.a"))).alias("b")).filter("b is not null").distinct()
 
 
-def counts(rows: list[np.ndarray]) -> np.ndarray:
-    """How many grams each two of the arrays share: grams that two or more have are columns, products of slices of them are added."""
+def counts(rows: list[np.ndarray], lower: int = 0) -> np.ndarray:
+    """How many grams each two of the arrays share; lower: only each of the first so many with each other one.
+
+    Of a gram that few have, the pairs are counted one by one; the others are columns, products of slices of them are added."""
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     gram = np.concatenate(rows)
     order = np.argsort(gram, kind="stable")
     gram, row = gram[order], row[order]
     column = np.cumsum(np.append(True, gram[1:] != gram[:-1])) - 1 if len(gram) else np.zeros(0, np.int64)
     often = np.bincount(column)
-    keep = often[column] > 1
-    row, column = row[keep], (np.cumsum(often > 1) - 1)[column[keep]]
-    m, n = len(rows), int(column[-1]) + 1 if len(column) else 0
-    total = np.zeros((m, m), np.float32)
+    m, down, across = len(rows), lower or len(rows), len(rows) - lower
+    total = np.zeros(down * across, np.float32)
+    keep = (often[column] > 1) & (often[column] <= FEW)
+    few, group = row[keep], column[keep]
+    ends = np.searchsorted(group, group, "right")
+    later = ends - np.arange(len(few)) - 1
+    so_far, at = np.cumsum(later), 0
+    while at < len(few):
+        to = max(at + 1, int(np.searchsorted(so_far, (so_far[at - 1] if at else 0) + 1_000_000, "right")))
+        i, j = np.repeat(few[at:to], later[at:to]), few[ragged(np.arange(at, to) + 1, later[at:to])]
+        if lower:
+            mixed = (i < lower) & (j >= lower)
+            i, j = i[mixed], j[mixed]
+        if len(i):
+            total += np.bincount(i * across + j - lower, minlength=len(total))
+        at = to
+    total = total.reshape(down, across)
+    if not lower:
+        total += total.T
+    keep = often[column] > FEW
+    row, column = row[keep], (np.cumsum(often > FEW) - 1)[column[keep]]
+    n = int(column[-1]) + 1 if len(column) else 0
     width = max(1, min(4_000_000 // m, 1 << 16))
     for at in range(0, n, width):
         a, b = np.searchsorted(column, (at, at + width))
         x = np.zeros((m, min(width, n - at)), np.float32)
         x[row[a:b], column[a:b] - at] = 1
-        total += x @ x.T
+        total += x[:lower] @ x[lower:].T if lower else x @ x.T
     return total
 
 
-def class_pairs(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members (doc_id, key, node) has each text that may have a partner and its class; pairs (node_a, node_b,
-    overlap, size_a, size_b) each pair of classes with Jaccard t or more once."""
+def least_linked(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of m, the least that it is connected to by the pairs (i, j)."""
+    least = np.arange(m)
+    while True:
+        now = least.copy()
+        both = np.minimum(least[i], least[j])
+        for end in (i, j, least[i], least[j]):
+            np.minimum.at(now, end, both)
+        now = now[now]
+        if (now == least).all():
+            return least
+        least = now
+
+
+def class_links(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (doc_id, key, node) has each text that may have a partner and its class; links (node, lead,
+    links, best) has parts of what a class's pairs of Jaccard t or more come to: how many they are, the highest similarity,
+    and a class that it is connected to by them. Every pair of classes is counted once at either end, and none is sent."""
     fragments = fragments_for(docs)
     alive = cut(survivors(shared_grams(segments(docs, fragments, n)), t))
     members = cut(alive.select("doc_id", "key", "node").distinct())
@@ -312,13 +361,14 @@ def class_pairs(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame
     part = components(_prefix_links(leads, t))
     placed = cut(leads.select("node", "size", "held").join(part, "node"))
     bucket = F.floor(F.log("size") / float(-np.log(min(t, 0.99))) + _EPS).cast("int")
-    spread = placed.select("part", bucket.alias("bucket"), "held").groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("held").alias("grams"))
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    spread = placed.select("part", bucket.alias("bucket"), "held").groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("held").alias("grams"), F.max("held").alias("longest"))
+    blocks = F.ceil(F.greatest(F.col("k") / BLOCK, F.col("grams") / PIECE)).cast("int")
+    # a text alone may be beyond a piece, which no dealing by blocks helps
     large = cut(
-        spread.groupBy("part").agg(F.sum("k").alias("of"), F.sum("grams").alias("grams"), F.map_from_entries(F.collect_list(F.struct("bucket", blocks))).alias("layout"), F.sum(blocks).alias("blocks"))
-        .filter((F.col("of") > BLOCK) | (F.col("grams") > PIECE)).select("part", "layout", F.ceil(F.col("grams") * 2 / F.col("blocks") / PIECE).cast("int").alias("pieces"))
+        spread.groupBy("part").agg(F.sum("k").alias("of"), F.sum("grams").alias("grams"), F.map_from_entries(F.collect_list(F.struct("bucket", blocks))).alias("layout"), F.max("longest").alias("longest"))
+        .filter((F.col("of") > BLOCK) | (F.col("grams") > PIECE)).select("part", "layout", F.ceil(F.col("longest") * 2 / PIECE).cast("int").alias("pieces"))
     )
-    rows = large.count()
+    rows, cuts = large.agg(F.count(F.lit(1)), F.coalesce(F.max("pieces"), F.lit(1))).first()
     plain = (placed if not rows else placed.join(F.broadcast(large) if rows <= BROADCAST_ROWS else large, "part", "left_anti")).select("node", "part", F.array(F.struct(F.xxhash64("part").alias("task"), F.lit(1).alias("side"))).alias("tasks"), F.lit(1).alias("pieces"))
     if rows:
         here = join_small(placed, large, ["part"], ["node"], rows).withColumn("bucket", bucket)
@@ -331,10 +381,13 @@ def class_pairs(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame
         plain = plain.unionByName(dealt)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["task", "piece", "pieces", "node", "size", "grams"])
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for node, size, grams, tasks, pieces in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                g = np.sort(np.frombuffer(grams, np.int64))
+            sent = 0
+            for i, (node, size, tasks, pieces) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "size", "tasks", "pieces")), strict=True)):
+                g = np.sort(np.frombuffer(batch.column("grams")[i].as_buffer(), np.int64))
                 # pieces are ranges of fragments, so of the global order
                 ends = np.searchsorted(g >> 32, [fragments * p // pieces for p in range(1, pieces)] + [1 << 31]).tolist()
                 for p, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
@@ -343,35 +396,73 @@ def class_pairs(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame
                         for x in tasks:
                             for column, v in zip(out, (x["task"], p, pieces, node, size << 2 | x["side"], blob), strict=True):
                                 column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["task", "piece", "pieces", "node", "size", "grams"])
+                            sent += len(blob)
+                            if sent > SENT:
+                                yield made(out)
+                                out, sent = [[], [], [], [], [], []], 0
+            yield made(out)
 
     def one(x: pa.Table) -> pa.Table:
         task, piece, pieces, node, size = (x.column(c).to_numpy() for c in ("task", "piece", "pieces", "node", "size"))
-        side, size, grams = size & 3, (size >> 2).astype(np.float64), x.column("grams")
+        side, size, grams = size & 3, size >> 2, x.column("grams")
         order = np.lexsort((side, piece, task))
         edges = np.append(np.flatnonzero(np.append(True, (task[order][1:] != task[order][:-1]) | (piece[order][1:] != piece[order][:-1]))), len(order))
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
-        for a, b in zip(edges, edges[1:], strict=False):
-            who = order[a:b]
-            total = counts([np.frombuffer(grams[int(i)].as_buffer(), np.int64) for i in who])
-            s, lower = size[who], int((side[who] == 0).sum())
-            may = (total > 0) & (np.minimum(s[:, None], s) >= t * np.maximum(s[:, None], s) - _EPS)
+        out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
+
+        def tile(upper: np.ndarray, other: np.ndarray | None) -> None:
+            """The pairs of some classes, or of these with others."""
+            who, lower = (upper, 0) if other is None else (np.append(upper, other), len(upper))
+            total = counts([np.frombuffer(grams[int(i)].as_buffer(), np.int64) for i in who], lower)
+            u, v = (size[upper], size[upper]) if other is None else (size[upper], size[other])
+            may = total > 0
             if pieces[who[0]] == 1:
-                may &= total >= t * (s[:, None] + s - total) - _EPS
-            if side[who[0]] != 1:  # both ends of a pair of this task's are in different blocks
-                may[:lower, :lower] = may[lower:, lower:] = False
-            i, j = np.nonzero(np.triu(may, 1))
-            both, u, v = total[i, j].astype(np.int64), who[i], who[j]
-            u, v = np.where(node[u] > node[v], v, u), np.where(node[u] > node[v], u, v)
-            for column, y in zip(out, (node[u], node[v], both, size[u].astype(np.int64), size[v].astype(np.int64)), strict=True):
+                may &= total >= t * (u[:, None] + v - total.astype(np.float64)) - _EPS
+            else:
+                may &= np.minimum(u[:, None], v) >= t * np.maximum(u[:, None], v) - _EPS
+            i, j = np.nonzero(may if lower else np.triu(may, 1))
+            both, j = total[i, j].astype(np.int64), j + lower
+            if not len(i):
+                return
+            if pieces[who[0]] == 1:  # the whole overlap: either end's part is summed here
+                m, best = len(who), np.zeros(len(who))
+                each = both / (size[who[i]] + size[who[j]] - both)
+                np.maximum.at(best, i, each)
+                np.maximum.at(best, j, each)
+                links = np.bincount(i, minlength=m) + np.bincount(j, minlength=m)
+                there = np.flatnonzero(links)
+                zero = np.zeros(len(there), np.int64)
+                got = (node[who[there]], node[who[least_linked(m, i, j)[there]]], zero, zero, zero, links[there], best[there])
+            else:
+                a, b = who[i], who[j]
+                a, b = np.where(node[a] > node[b], b, a), np.where(node[a] > node[b], a, b)
+                got = (node[a], node[b], both, size[a], size[b], np.zeros(len(a), np.int64), np.zeros(len(a)))
+            for column, y in zip(out, got, strict=True):
                 column.append(y)
-        return pa.table([np.concatenate(c) for c in out], ["node_a", "node_b", "overlap", "size_a", "size_b"])
+
+        for a, b in zip(edges, edges[1:], strict=False):
+            who = order[a:b]
+            alone = side[who[0]] == 1
+            lower, upper = (who, who) if alone else (who[side[who] == 0], who[side[who] == 2])
+            parts = [[g[k : k + TILE] for k in range(0, len(g), TILE)] for g in (lower, upper)]
+            for p, y in enumerate(parts[0]):
+                if alone:
+                    tile(y, None)
+                for z in parts[1][p + 1 :] if alone else parts[1]:
+                    tile(y, z)
+        names, kinds = ["node", "lead", "overlap", "size", "lead_size", "links", "best"], [np.int64] * 6 + [np.float64]
+        return pa.table([np.concatenate([np.zeros(0, k), *c]) for c, k in zip(out, kinds, strict=True)], names)
 
     bins = max(16, fragments * 4)
     sent = leads.select("node", "size", "grams").join(plain, "node").select("node", "size", "grams", "tasks", "pieces").mapInArrow(deal, "task long, piece int, pieces int, node long, size long, grams binary")
-    partial = sent.withColumn("bin", F.pmod(F.xxhash64("task", "piece"), F.lit(bins))).groupBy("bin").applyInArrow(one, "node_a long, node_b long, overlap long, size_a long, size_b long")
-    summed = partial.groupBy("node_a", "node_b", "size_a", "size_b").agg(F.sum("overlap").alias("overlap"))
-    return members, summed.filter(F.col("overlap") >= (F.col("size_a") + F.col("size_b") - F.col("overlap")) * t - _EPS).select("node_a", "node_b", "overlap", "size_a", "size_b")
+    links = sent.withColumn("bin", F.pmod(F.xxhash64("task", "piece"), F.lit(bins))).groupBy("bin").applyInArrow(one, "node long, lead long, overlap long, size long, lead_size long, links long, best double")
+    if cuts > 1:  # overlaps counted in pieces are summed by pair
+        links = cut(links)
+        whole = F.col("lead_size") + F.col("size") - F.col("overlap")
+        summed = links.filter("links = 0").groupBy("node", "lead", "size", "lead_size").agg(F.sum("overlap").alias("overlap")).filter(F.col("overlap") >= whole * t - _EPS)
+        ends = F.explode(F.array(F.struct("node", "lead"), F.struct(F.col("lead").alias("node"), F.col("node").alias("lead")))).alias("x")
+        summed = summed.select(ends, (F.col("overlap") / whole).alias("best")).select("x.*", F.lit(1).cast("long").alias("links"), "best")
+        links = links.filter("links > 0").select("node", "lead", "links", "best").unionByName(summed)
+    return members, links.select("node", "lead", "links", "best")
 
 
 def near_groups(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
@@ -379,11 +470,10 @@ def near_groups(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
 
     class_id is the least doc_id of its connected group, whose first document (by doc_id, then key) is kept; copies counts the
     other documents with the same grams, links the classes of other grams with Jaccard t or more, best is the highest similarity."""
-    members, pairs = class_pairs(docs, n, t)
-    pairs = cut(pairs)
-    ends = F.explode(F.array("node_a", "node_b")).alias("node")
-    linked = pairs.select(ends, (F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))).alias("best")).groupBy("node").agg(F.count(F.lit(1)).alias("links"), F.max("best").alias("best"))
-    part = components(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    members, links = class_links(docs, n, t)
+    links = cut(links)
+    linked = links.groupBy("node").agg(F.sum("links").alias("links"), F.max("best").alias("best"))
+    part = components(links.select(F.col("node").alias("a"), F.col("lead").alias("b")))
     classes_ = members.groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "key")).alias("first")).join(linked, "node", "left").join(part, "node", "left").withColumn("part", F.coalesce("part", "node")).filter("k > 1 or links > 0")
     classes_ = cut(classes_)
     firsts = classes_.groupBy("part").agg(F.min("first").alias("least"))

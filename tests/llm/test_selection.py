@@ -145,6 +145,50 @@ def test_jaccard_chain(docs, monkeypatch):
     assert got == groups_brute(rows) and {c for i, c, *_ in got if i < 1000} == {0}
 
 
+def test_links_connect_possible_partners_only(spark, monkeypatch):
+    """The links connect just what the pairs of classes do that may be partners by a gram of both; texts that share a late gram stay apart."""
+    monkeypatch.setattr(near_copies, "HELD_GRAMS", 200)
+    rng = random.Random(5)
+    rows = []
+    for node in range(150):
+        held = sorted(rng.sample(range(90), rng.randint(2, 24)))
+        size = len(held) + rng.randint(0, len(held) // 2)
+        rows.append((node, size, len(held), len(held) - -(-size // 2) + 1, np.array(held, np.int64).tobytes()))
+    group = [*range(len(rows))]
+    for a, sa, ha, _, x in rows:
+        for b, sb, hb, _, y in rows[:a]:
+            x_, y_ = np.frombuffer(x, np.int64).tolist(), np.frombuffer(y, np.int64).tolist()
+            if any(3 * min(ha - x_.index(g), hb - y_.index(g)) >= sa + sb for g in {*x_} & {*y_}) and group[a] != group[b]:
+                group = [min(group[a], group[b]) if k in (group[a], group[b]) else k for k in group]
+    links = near_copies._prefix_links(spark.createDataFrame(rows, "node long, size int, held int, prefix int, grams binary").repartition(3), 0.5)
+    part = {r.node: r.part for r in components(links).collect()}
+    assert 1 < len({*group}) < len(rows) and [part.get(k, k) for k in range(len(rows))] == group
+
+
+@pytest.mark.parametrize("few", [1, 3, 100])
+def test_counts(monkeypatch, few):
+    monkeypatch.setattr(near_copies, "FEW", few)
+    rng = random.Random(few)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randint(1, 40)))) for _ in range(20)]
+    want = np.array([[len({*a} & {*b}) for b in sets] for a in sets])
+    got = near_copies.counts(sets)
+    assert (got == want)[~np.eye(20, dtype=bool)].all() and (near_copies.counts(sets, 7) == want[:7, 7:]).all()
+
+
+def test_jaccard_tiles(docs, monkeypatch):
+    """A dense group over many tiles and blocks, whose links are summed at either end."""
+    for k, v in {"BLOCK": 12, "TILE": 4, "SENT": 500}.items():
+        monkeypatch.setattr(near_copies, k, v)
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        w = [f"w{k}" for k in range(40)]
+        for _ in range(rng.choice([0, 1, 3, 6])):
+            w[rng.randrange(40)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    assert report(near_copies.jaccard_join(docs(rows))) == groups_brute(rows)
+
+
 def test_jaccard_repeats(docs, spark):
     """A table that holds each row twice gives the rows of the table itself."""
     rows = corpus(80, 4)
