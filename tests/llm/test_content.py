@@ -296,6 +296,18 @@ def test_pipeline(spark, tables):
     assert not {r.doc_id for r in out} & {*range(200, 220), 300}
 
 
+def test_posters_take_little_memory():
+    """Bits are written by words, in slices that stay small: a page of noise takes no more than that, and gives the same bytes alone as among others."""
+    rng = random.Random(11)
+    pages = ["".join(chr(rng.randrange(32, 127)) for _ in range(n)) for n in (5, 9_000, 40_001, 90_002, 90_003, 90_004)]
+    alone = [posters.poster(x) for x in pages]
+    tracemalloc.start()
+    together = posters.all_posters(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert together == alone and peak < 40e6
+
+
 def test_posters_grow():
     rng = random.Random(7)
     pages = ["<p>" + words_of(rng, n) for n in (1, 30, 300, 3000, 15_000)] + ["<p>" + words_of(rng, 300) for _ in range(40)]
