@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Encoder, tokenised, vocabulary
 from .quality import bucket
-from .spark_io import cut, in_arrow, put_file, ship, vocabulary_file, vocabulary_path
+from .spark_io import cut, in_arrow, in_rows, put_file, release, ship, vocabulary_file, vocabulary_path
 from .textvec import code_points, ragged, span_hashes
 
 #: Words in the lexicon, and distinct words that a counting task holds before it passes them on.
@@ -43,7 +43,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             strings = np.concatenate(names) if names else np.zeros(0, object)
             return pa.RecordBatch.from_arrays([pa.array(strings[at].tolist(), pa.string()), pa.array(counts)], ["word", "n"])
 
-        for batch in batches:
+        for batch in in_rows(batches):
             for _, _, text, starts, ends, _ in tokenised(batch.column(0).to_pylist()):
                 if not len(starts):
                     continue
@@ -66,6 +66,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     counts, hashes, names, at = counts[:0], hashes[:0], [], at[:0]
         if len(hashes):
             yield flush()
+        del counts, hashes, names, at
+        release()
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -212,14 +214,15 @@ def encode_documents(docs: DataFrame, path: str | None = None, words: int = WORD
         own = SparkFiles.get(file)
         encoder, decoder = Encoder(own, Lexicon(SparkFiles.get(name))), Decoder(own)
 
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            texts = batch.column(1).to_pylist()
-            for a, b, ids, per in encoder.rows(texts):
-                data, size = decoder.raw(ids)
-                ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(per))].tolist()
-                same = [data[x:y] == (t or "").encode() for x, y, t in zip(ends, ends[1:], texts[a:b], strict=False)]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(per, pa.int32()), lists, pa.array(same)], ["doc_id", "n_tokens", "token_ids", "round_trip"])
+        def step(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for batch in in_rows([whole]):
+                texts = batch.column(1).to_pylist()
+                for a, b, ids, per in encoder.rows(texts):
+                    data, size = decoder.raw(ids)
+                    ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(per))].tolist()
+                    same = [data[x:y] == (t or "").encode() for x, y, t in zip(ends, ends[1:], texts[a:b], strict=False)]
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)), pa.int32()), pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(per, pa.int32()), lists, pa.array(same)], ["doc_id", "n_tokens", "token_ids", "round_trip"])
 
         return step
 

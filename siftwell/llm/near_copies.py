@@ -25,7 +25,7 @@ the fragments, 4 at least."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .spark_io import BROADCAST_ROWS, cut, join_small, ship, slices, unwrapped, wrapped
+from .spark_io import BROADCAST_ROWS, cut, join_small, release, ship, slices, unwrapped, wrapped
 from .textvec import SPACE, classes, code_points, mix, ragged, span_hashes, words
 
 #: Production parameters: words in a gram and the least Jaccard similarity of a pair.
 N, T = 3, 0.5
 #: Physical sizes, without influence on results: input bytes for each fragment, grams held by a task before it sends them, classes in a block, grams in a block or piece, chars worked on at once,
-#: classes compared at once, texts up to which a gram's pairs are counted one by one, bytes of grams that are dealt at once.
-FRAGMENT_BYTES, HELD_GRAMS, BLOCK, PIECE, SLICE, TILE, FEW, SENT = 16 << 20, 2_000_000, 4096, 1_000_000, 600_000, 1024, 32, 8 << 20
+#: classes compared at once, texts up to which a gram's pairs are counted one by one, bytes of grams that are dealt at once, rows whose texts are held as strings.
+FRAGMENT_BYTES, HELD_GRAMS, BLOCK, PIECE, SLICE, TILE, FEW, SENT, ROWS = 16 << 20, 2_000_000, 4096, 1_000_000, 600_000, 1024, 32, 8 << 20, 500
 _EPS = 1e-9
 
 
@@ -115,11 +115,14 @@ def segments(docs: DataFrame, fragments: int, n: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             uid, size, gram = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             frag = (gram >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int32)
             order = np.argsort(frag, kind="stable")
-            frag, row, gram = frag[order], np.repeat(np.arange(len(uid)), size)[order], gram[order]
+            frag, row, gram = frag[order], np.repeat(np.arange(len(uid), dtype=np.int32), size)[order], gram[order]
+            del order
             # six bytes of each gram go along, the fragment stands for the first bits
             low = (gram << np.uint64(bits)).byteswap().view(np.uint8).reshape(-1, 8)[:, :6]
+            del gram
             begins = np.flatnonzero(np.append(True, frag[1:] != frag[:-1]))
             steps, at = stepped(row, begins)
             pack = int(mix(uid.astype(np.uint64).reshape(-1) + mix(np.arange(2 * len(uid)).astype(np.uint64))).sum().view(np.int64))
@@ -133,18 +136,31 @@ def segments(docs: DataFrame, fragments: int, n: int) -> DataFrame:
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             uids = np.stack([ids.astype(np.int64), keys.astype(np.int64)], 1)
-            for a, b, gram, size in gram_sets(batch.column(2).to_pylist(), n):
-                held.append((uids[a:b][size > 0], size[size > 0], gram))
-                total += len(gram)
-                if total > HELD_GRAMS:
-                    yield flush()
-                    held, total = [], 0
+            for at in range(0, len(ids), ROWS):  # Python strings of a whole batch would take many times a slice's memory
+                for a, b, gram, size in gram_sets(batch.column(2).slice(at, ROWS).to_pylist(), n):
+                    held.append((uids[at + a : at + b][size > 0], size[size > 0], gram))
+                    total += len(gram)
+                    if total > HELD_GRAMS:
+                        yield flush()
+                        total = 0
         if total:
             yield flush()
+        release()
 
     return texts.mapInArrow(run, SEGMENTS)
 
 
+def released(one: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The function of a group; what it freed is given back after each."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = one(t)
+        release()
+        return out
+
+    return run
+
+
 def _often(count: np.ndarray) -> np.ndarray:
     """A byte that ascends with the number of texts."""
     return np.minimum(np.rint(8 * np.log2(count)), 255).astype(np.uint8)
@@ -187,7 +203,7 @@ def shared_grams(segs: DataFrame) -> DataFrame:
         columns = [pa.array(x, pa.binary()) for x in out[:3]]
         return pa.table([pa.array(np.full(len(length), frag, np.int32)), t.column("pack"), *columns, t.column("uids"), t.column("sizes")], ["frag", "pack", "steps", "gram", "often", "uids", "sizes"])
 
-    return segs.groupBy("frag").applyInArrow(one, "frag int, pack long, steps binary, gram binary, often binary, uids binary, sizes binary")
+    return segs.groupBy("frag").applyInArrow(released(one), "frag int, pack long, steps binary, gram binary, often binary, uids binary, sizes binary")
 
 
 SURVIVORS = "doc_id long, key long, size int, held int, prefix int, node long, grams binary"
@@ -235,7 +251,7 @@ def survivors(shared: DataFrame, t: float) -> DataFrame:
         columns = [uid[:, 0], uid[:, 1], size.astype(np.int32), held.astype(np.int32), (held - need + 1).astype(np.int32), node]
         return pa.table([*map(pa.array, map(np.ascontiguousarray, columns)), blobs], ["doc_id", "key", "size", "held", "prefix", "node", "grams"])
 
-    return shared.groupBy("pack").applyInArrow(one, SURVIVORS)
+    return shared.groupBy("pack").applyInArrow(released(one), SURVIVORS)
 
 
 def _prefix_links(leads: DataFrame, t: float) -> DataFrame:
@@ -284,6 +300,8 @@ def _prefix_links(leads: DataFrame, t: float) -> DataFrame:
                 held, total = [], 0
         if held:
             yield flush()
+            held.clear()
+        release()
 
     got = leads.select("node", "size", "held", "prefix", "grams").mapInArrow(run, "a long, b long, gram long, size int, reach int")
     w = Window.partitionBy("gram").orderBy(F.least("size", "reach"), F.col("reach") < F.col("size"), F.desc("reach"), "a").rowsBetween(Window.unboundedPreceding, -1)
@@ -401,6 +419,7 @@ def class_links(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame
                                 yield made(out)
                                 out, sent = [[], [], [], [], [], []], 0
             yield made(out)
+        release()
 
     def one(x: pa.Table) -> pa.Table:
         task, piece, pieces, node, size = (x.column(c).to_numpy() for c in ("task", "piece", "pieces", "node", "size"))
@@ -454,7 +473,7 @@ def class_links(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame
 
     bins = max(16, fragments * 4)
     sent = leads.select("node", "size", "grams").join(plain, "node").select("node", "size", "grams", "tasks", "pieces").mapInArrow(deal, "task long, piece int, pieces int, node long, size long, grams binary")
-    links = sent.withColumn("bin", F.pmod(F.xxhash64("task", "piece"), F.lit(bins))).groupBy("bin").applyInArrow(one, "node long, lead long, overlap long, size long, lead_size long, links long, best double")
+    links = sent.withColumn("bin", F.pmod(F.xxhash64("task", "piece"), F.lit(bins))).groupBy("bin").applyInArrow(released(one), "node long, lead long, overlap long, size long, lead_size long, links long, best double")
     if cuts > 1:  # overlaps counted in pieces are summed by pair
         links = cut(links)
         whole = F.col("lead_size") + F.col("size") - F.col("overlap")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,6 +59,21 @@ def unwrapped(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on from task to task, and what they keep counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def in_rows(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, as Python strings of a whole batch take many times the memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def in_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """mapInArrow with one state a task: make() returns what turns a batch into batches."""
     ship(df.sparkSession)
@@ -67,6 +83,8 @@ def in_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterat
         for batch in batches:
             if batch.num_rows:
                 yield from step(batch)
+        del step
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -96,3 +96,15 @@ def test_odd_rows(odd, public):
     assert sorted(((r.doc_id, r.token_ids) for r in token_ids.unpack_documents(packed).collect()), key=key) == want
     for f in (lexicon.encode_documents, token_counts.count_tokens, token_ids.pack_documents):
         assert f(odd.limit(0)).count() == 0
+
+
+def test_batches_are_read_in_slices():
+    """Python strings are made of a few rows at a time; every row comes, in order."""
+    import pyarrow as pa
+
+    from siftwell.llm.spark_io import in_rows, release
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64())], ["x"]) for a, b in ((0, 1201), (1201, 1201), (1201, 1300))]
+    got = [*in_rows(batches)]
+    assert max(b.num_rows for b in got) == 500 and [v for b in got for v in b.column(0).to_pylist()] == [*range(1300)]
+    release()
