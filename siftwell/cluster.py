@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import shutil
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,3 +60,11 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"{root.name}/{p.relative_to(root)}")
     sc.addPyFile(share(spark, out.getvalue(), f"siftwell-{uuid.uuid4().hex}.zip"))
     sc._siftwell_shipped = True
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on from task to task, and what they keep counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

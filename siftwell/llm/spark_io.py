@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import cut, share, shared_folder, ship
+from ..cluster import cut, release, share, shared_folder, ship
 
-__all__ = ["cut", "share", "shared_folder", "ship"]
+__all__ = ["cut", "release", "share", "shared_folder", "ship"]
 
 #: Rows up to which a decision table is broadcast; a larger one is joined with a salted shuffle.
 BROADCAST_ROWS = 100_000
@@ -59,14 +58,6 @@ def unwrapped(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
 
 
-def release() -> None:
-    """Give freed memory back to the system: Python workers live on from task to task, and what they keep counts against their executor."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-    if trim:
-        trim(0)
-
-
 def in_rows(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices of so many rows, as Python strings of a whole batch take many times the memory."""
     for batch in batches:
