@@ -1,4 +1,4 @@
-"""Scalar text-quality functions as Spark columns; everything stays in the JVM.
+"""Scalar text-quality functions as Spark columns; all but entropy() and measures() stay in the JVM.
 
 Words are runs of letters, digits and underscores that are a-z alone in lower case, so that no engine's notion of a word
 boundary matters. White space is Unicode white space. A null text gives null."""
@@ -7,9 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import points
+
 STOP_WORDS = (
     "a all also an and are as at be been both but by can could did do does each every few for from had has have he here how "
     "i in is it its just may might more most must need no nor not now of on only or other own same shall she should so some "
@@ -92,6 +95,15 @@ def gibberish(text: Column, special: Column | None = None, good: Column | None =
     return F.when(F.length(text) < 10, 0.0).otherwise(F.least(F.lit(1.0), total))
 
 
+def _measures(texts: list[str]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(points.measures(texts, tuple(STOP_WORDS), GOOD_LENGTHS, VOWELLESS), (pa.int32(), pa.bool_(), pa.bool_(), pa.float64(), pa.float64()), strict=True)], ["len", "low", "open", "gib", "den"])
+
+
+def measures(text: Column) -> Column:
+    """Of a text in one pass: len (without white space at the ends), low (begins with a small letter), open (lacks an end mark), gib (gibberish()), den (density())."""
+    return points.by_slices(_measures, "struct<len:int,low:boolean,open:boolean,gib:double,den:double>")(text)
+
+
 def sentence_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "[.!?]+"), lambda s: s.rlike("(?U)\\S")))
 

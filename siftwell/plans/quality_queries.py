@@ -92,7 +92,7 @@ def near(spark: SparkSession, sf: str) -> DataFrame:
 def validated(spark: SparkSession, sf: str, found: DataFrame | None = None) -> DataFrame:
     """All documents as one batch, each checked against the earlier ones too."""
     known = D.penalties(near(spark, sf) if found is None else found).withColumnRenamed("duplicate", "dup")
-    return C.validate(C.chunks(_docs(spark, sf)).join(known, "id", "left"), duplicate=F.col("dup")).drop("dup")
+    return C.validate(C.measured(C.chunks(_docs(spark, sf))).join(known, "id", "left"), duplicate=F.col("dup")).drop("dup")
 
 
 def d3_scored_with_duplicates(spark: SparkSession, sf: str) -> DataFrame:
