@@ -7,13 +7,13 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 from pyspark.sql.window import Window
 
-from ..cluster import cut, ship
+from ..cluster import cut, release, ship
 
 ACCEPT, REVIEW = 0.6, 0.4
 
@@ -92,16 +92,25 @@ def relevance_report(decided: DataFrame) -> DataFrame:
     return decided.agg(F.count(F.lit(1)).alias("total"), n("accept"), n("review"), n("reject"), F.count(F.when(F.col("decision") == "unscored", 1)).alias("unscored"), F.coalesce(F.avg("relevance"), F.lit(0.0)).alias("avg_relevance"), rate("accept"), rate("reject"))
 
 
-def _packed(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(ids, dim, vectors): an Arrow batch's vectors, with norm 1 or 0, as one row; null vectors are left out."""
+#: Vectors and queries in a block, and queries whose scores are held at once.
+VECTORS, QUERIES, TILE = 8192, 4096, 256
+
+
+def _packed(df: DataFrame, key: str, vector: str, most: int) -> DataFrame:
+    """(ids, dim, vectors): at most so many vectors, with norm 1 or 0, as one row; null vectors are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                m = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_pylist()])
+            for at in range(0, batch.num_rows, most):
+                part = batch.slice(at, most)
+                if len(part.column(1).value_lengths().unique()) > 1:
+                    raise ValueError("vectors of different lengths")
+                m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
                 norm = np.sqrt((m * m).sum(1, keepdims=True))
                 m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().astype(np.int64).tobytes()]), pa.array([m.shape[1]], pa.int32()), pa.array([m.tobytes()])], ["ids", "dim", "vectors"])
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()]), pa.array([m.shape[1]], pa.int32()), pa.array([m.tobytes()])], ["ids", "dim", "vectors"])
+            del batch
+        release()
 
     return df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(run, "ids binary, dim int, vectors binary")
 
@@ -109,23 +118,36 @@ def _packed(df: DataFrame, key: str, vector: str) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", where: Column | None = None) -> DataFrame:
     """(query_id, key, score, rank): the k most similar vectors of each query that meet the condition, ties by key.
 
-    Exact: blocks of vectors meet blocks of queries (query_id, query), a product each, which keeps the k best of the block for
-    each query; the ranking merges these. Scores are compared to twelve digits, so that the order of sums doesn't matter."""
+    Exact: blocks of vectors meet blocks of queries (query_id, query), a product each, of which goes on what may be among a
+    query's k best by what its task has seen; the ranking merges these. Scores are compared to twelve digits, so that the
+    order of sums doesn't matter."""
     ship(vectors.sparkSession)
-    all_ = _packed(vectors if where is None else vectors.filter(where), key, "embedding")
-    asked = cut(_packed(queries, "query_id", "query"))
+    all_ = _packed(vectors if where is None else vectors.filter(where), key, "embedding", VECTORS).repartition(2 * vectors.sparkSession.sparkContext.defaultParallelism, "ids")
+    asked = cut(_packed(queries, "query_id", "query", QUERIES))
     pairs = all_.crossJoin(asked.toDF("q_ids", "q_dim", "q_vectors"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, np.ndarray] = {}  # of each block of queries, a bound below the k-th best score
         for batch in batches:
-            for ids, dim, data, q_ids, q_dim, q_data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                v, q = np.frombuffer(data, np.float64).reshape(-1, dim), np.frombuffer(q_data, np.float64).reshape(-1, q_dim)
-                names, asks = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                for at in range(0, len(q), 256):
-                    score = np.round(q[at : at + 256] @ v.T, 12)
-                    best = np.lexsort((np.broadcast_to(names, score.shape), -score), axis=1)[:, :k]
-                    found = np.take_along_axis(score, best, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asks[at : at + 256], best.shape[1])), pa.array(names[best].reshape(-1)), pa.array(found.reshape(-1))], ["query_id", key, "score"])
+            for i in range(batch.num_rows):
+                ids, dim, data, q_ids, q_dim, q_data = (c[i] for c in batch.columns)
+                v, q = (np.frombuffer(x.as_buffer(), np.float64).reshape(-1, n.as_py()) for x, n in ((data, dim), (q_data, q_dim)))
+                names, asks = np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(q_ids.as_buffer(), np.int64)
+                bound = least.setdefault(asks.tobytes(), np.full(len(q), -np.inf))
+                for at in range(0, len(q), TILE):
+                    score = q[at : at + TILE] @ v.T
+                    low = bound[at : at + TILE]
+                    if len(names) > k and (np.isinf(low).any() or (score >= low[:, None]).sum() > 4 * k * len(low)):
+                        np.maximum(low, np.partition(score, len(names) - k, axis=1)[:, len(names) - k] - 2e-12, out=low)  # so that rounding loses nothing
+                    row, column = np.nonzero(score >= low[:, None])
+                    found = np.round(score[row, column], 12)
+                    del score
+                    order = np.lexsort((names[column], -found, row))
+                    row, column, found = row[order], column[order], found[order]
+                    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    yield pa.RecordBatch.from_arrays([pa.array(asks[at + row[best]]), pa.array(names[column[best]]), pa.array(found[best])], ["query_id", key, "score"])
+            del batch
+        release()
 
     scored = pairs.mapInArrow(run, f"query_id long, `{key}` long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col(key))
@@ -138,14 +160,19 @@ def embedded(df: DataFrame, load: Callable[[], Callable[[list[str]], Any]], text
     A null text is an empty one. The model is the caller's: none is part of this library."""
     ship(df.sparkSession)
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load()
         for part in parts:
-            texts = ["" if t is None else t for t in part]
-            out = [list(map(float, v)) for at in range(0, len(texts), batch) for v in model(texts[at : at + batch])]
-            yield pd.Series(out, dtype=object)
-
-    return df.withColumn(into, F.pandas_udf(run, "array<double>", F.PandasUDFType.SCALAR_ITER)(F.col(text)))
+            out = [pa.array([], pa.list_(pa.float64()))]
+            for at in range(0, len(part), batch):  # Python strings and numbers of a whole part would take many times its memory
+                texts = ["" if t is None else t for t in part.slice(at, batch).to_pylist()]
+                out.append(pa.array([list(map(float, v)) for v in model(texts)], pa.list_(pa.float64())))
+            del part
+            yield pa.concat_arrays(out)
+            del out
+        release()
+
+    return df.withColumn(into, F.arrow_udf(run, "array<double>", ArrowUDFType.SCALAR_ITER)(F.col(text)))
 
 
 def golden_eval(retrieved: DataFrame, golden: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
