@@ -8,9 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from ..cluster import release, ship
 from ..functions.text import stripped
 
+#: Rows whose texts are held as strings at once.
+ROWS = 200
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
@@ -106,14 +108,18 @@ def recursive_chunks(df: DataFrame, size: int = 500, overlap: int = 50, separato
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at, parts = [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                for k, p in enumerate(recursive_pieces(t or "", size, overlap, separators)):
-                    if p.strip():
-                        ids.append(i)
-                        at.append(k)
-                        parts.append(p.strip())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(at, pa.int32()), pa.array(parts, pa.string())], [key, "chunk_index", "chunk"])
+            for first in range(0, batch.num_rows, ROWS):  # Python strings of a whole batch would take many times its memory
+                rows = batch.slice(first, ROWS)
+                ids, at, parts = [], [], []
+                for i, t in enumerate(rows.column(1).to_pylist()):
+                    for k, p in enumerate(recursive_pieces(t or "", size, overlap, separators)):
+                        if p.strip():
+                            ids.append(i)
+                            at.append(k)
+                            parts.append(p.strip())
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(ids, pa.int64())), pa.array(at, pa.int32()), pa.array(parts, pa.string())], [key, "chunk_index", "chunk"])
+            batch = rows = None
+            release()
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, chunk_index int, chunk string")
 
