@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from ..cluster import release, ship
 from ..operators.chunkers import windows
 
+#: Rows that are held as Python values at once.
+ROWS = 100
 KEYWORDS = ("ALTER", "CREATE", "DELETE", "DROP", "EXEC", "EXECUTE", "GRANT", "INSERT", "REVOKE", "TRUNCATE", "UPDATE")
 CHUNK = "id string, text string, source string, metadata map<string,string>, quality_score double, created_at timestamp"
 
@@ -128,9 +130,13 @@ def _per_row(df: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [x for values in zip(*(c.to_pylist() for c in batch.columns), strict=True) for x in make(*values)]
-            if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows], schema=kinds)
+            for at in range(0, batch.num_rows, ROWS):  # Python strings of a whole batch would take many times its memory
+                part = batch.slice(at, ROWS)
+                rows = [x for values in zip(*(c.to_pylist() for c in part.columns), strict=True) for x in make(*values)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows], schema=kinds)
+            batch = part = rows = None
+            release()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
