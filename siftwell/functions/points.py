@@ -18,7 +18,7 @@ from ..cluster import release
 
 SPACE, LETTER, NUMBER, LOWER, LATIN, VOWEL, HARD, STOP, END = (1 << i for i in range(9))
 #: Rows whose texts are strings at once, and characters that are worked on at once.
-ROWS, SLICE = 500, 400_000
+ROWS, SLICE = 200, 200_000
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -27,9 +27,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 @functools.cache
 def classes() -> np.ndarray:
     """Of each code point the classes it is in."""
-    names = np.array([unicodedata.category(chr(i)) for i in range(0x110000)])
-    first = names.astype("U1")
-    table = ((first == "Z") * SPACE + (first == "L") * LETTER + (first == "N") * NUMBER + (names == "Ll") * LOWER).astype(np.uint16)
+    kinds = {"Z": SPACE, "L": LETTER, "N": NUMBER}
+    names = map(unicodedata.category, map(chr, range(0x110000)))
+    table = np.fromiter((kinds.get(c[0], 0) | (LOWER if c == "Ll" else 0) for c in names), np.uint16, 0x110000)
     for chars, kind in (("\t\n\v\f\r\x1c\x1d\x1e\x1f\x85", SPACE), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", LATIN), ("aeiouAEIOU", VOWEL), ("bcdfghjklmnpqrstvwxyz", HARD), (".!?", STOP), (".!?;:\"'", END)):
         table[[ord(c) for c in chars]] |= kind
     return table
@@ -106,8 +106,8 @@ def entropies(cp: np.ndarray, at: np.ndarray) -> np.ndarray:
     number = np.zeros(int(held[-1]) + 1 if len(held) else 1, np.int64)
     number[held] = np.arange(len(held))
     lengths, out = np.diff(at), np.zeros(len(at) - 1)
-    most = max(1, (1 << 22) // max(1, len(held)))
-    for a in range(0, len(lengths), most):  # so many rows that their counts take 32 MB
+    most = max(1, (1 << 20) // max(1, len(held)))
+    for a in range(0, len(lengths), most):  # so many rows that their counts take 8 MB
         b = min(a + most, len(lengths))
         pair = np.repeat(np.arange(b - a), lengths[a:b]) * len(held) + number[cp[at[a] : at[b]]]
         n = np.bincount(pair, minlength=1)
@@ -201,8 +201,9 @@ def by_slices(make: Callable[[list[str]], pa.Array], kind: str) -> Callable[[Col
             for at in range(0, len(batch), ROWS):
                 texts = [t or "" for t in batch.slice(at, ROWS).to_pylist()]
                 out += [make(texts[a:b]) for a, b in slices([len(t) for t in texts], SLICE)]
+            del batch
             yield pa.concat_arrays(out or [make([])])
             del out
-        release()
+            release()
 
     return F.arrow_udf(run, kind, ArrowUDFType.SCALAR_ITER).asNondeterministic()
